@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from filmgrain.plans import activity, editing  # noqa: F401
+from filmgrain.plans import activity, editing, moving, picture  # noqa: F401
 from filmgrain.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
