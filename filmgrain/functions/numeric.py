@@ -25,6 +25,24 @@ def r6(x: Column) -> Column:
     return F.round(x.cast("double"), 6) + dbl(0)
 
 
+def round_decimal(x: Column, digits: int) -> Column:
+    """Round to ``digits`` places by the exact binary value, ties to even.
+
+    Spark rounds the shortest decimal text of a double, so 0.575 would go up although it
+    is stored just below the tie. The scaled product is split into itself and its exact
+    rounding error, and the error settles apparent ties.
+    """
+    m = dbl(10.0**digits)
+    x = x.cast("double")
+    p = x * m
+    wide = dbl(134_217_729) * x
+    high = wide - (wide - x)
+    error = (high * m - p) + (x - high) * m
+    low = F.floor(p).cast("double")
+    tie = (p - low == 0.5) & (error != 0)
+    return F.when(tie, F.when(error > 0, low + 1).otherwise(low)).otherwise(F.rint(p)) / m
+
+
 def presentation_ms(seconds: Column) -> Column:
     """Seconds to integer milliseconds, half up. Negative instants give null."""
     return F.when(seconds >= 0, F.floor(seconds * dbl(1000) + dbl(0.5)).cast("bigint"))

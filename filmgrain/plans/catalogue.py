@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from filmgrain.plans import activity, editing, moving, picture  # noqa: F401
+from filmgrain.plans import (  # noqa: F401
+    activity, control, documents, editing, moving, picture, reporting, streams,
+)
 from filmgrain.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

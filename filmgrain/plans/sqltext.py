@@ -105,6 +105,17 @@ def r6(x: str, name: str | None = None) -> str:
     return f"round({x}, 6) + 0.0" + (f" AS {name}" if name else "")
 
 
+def exact_round(x: str, digits: int) -> str:
+    """SQL wording of ``round_decimal``."""
+    m = f"{10 ** digits}.0::DOUBLE"
+    p = f"(({x})*{m})"
+    wide = f"(134217729.0::DOUBLE*({x}))"
+    high = f"({wide}-({wide}-({x})))"
+    err = f"(({high}*{m}-{p})+(({x})-{high})*{m})"
+    return (f"(CASE WHEN {p}-floor({p})=0.5 AND {err}<>0 THEN floor({p})+CASE WHEN {err} > 0 THEN 1 ELSE 0 END "
+            f"ELSE round_even({p}, 0) END/{m})")
+
+
 def uuid_sql(*parts: str) -> str:
     """Name-based identifier (RFC 4122 version 5) in SQL."""
     blob = " || from_hex('00') || ".join(f"encode(CAST({p} AS VARCHAR))" for p in parts)
