@@ -22,8 +22,10 @@ LINEAR_BELOW = 0.008856
 
 
 def _linear(channel: Column) -> Column:
-    c = channel / dbl(255)
-    return F.when(c <= 0.04045, c / dbl(12.92)).otherwise(F.pow((c + dbl(0.055)) / dbl(1.055), dbl(2.4)))
+    """Linear light of an 8-bit channel, read from a constant built by the sRGB rule."""
+    levels = [i / 255.0 for i in range(256)]
+    table = [c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in levels]
+    return F.element_at(F.array(*[F.lit(t) for t in table]), (channel + 1).cast("int"))
 
 
 def _weigh(row, x, y, z) -> Column:
@@ -34,6 +36,16 @@ def _bend(t: Column) -> Column:
     return F.when(t > LINEAR_BELOW, F.cbrt(t)).otherwise(dbl(7.787) * t + dbl(16) / dbl(116))
 
 
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    return _weigh(RGB_TO_XYZ[1], _linear(r), _linear(g), _linear(b))
+
+
+def near_black(r: Column, g: Column, b: Column, lstar_max: float) -> Column:
+    """L* at or below a limit, tested on luminance so no root is taken per pixel."""
+    limit = lstar_max / 903.3 if lstar_max <= 903.3 * LINEAR_BELOW else ((lstar_max + 16.0) / 116.0) ** 3
+    return luminance(r, g, b) <= dbl(limit)
+
+
 def lab(r: Column, g: Column, b: Column) -> dict[str, Column]:
     """L* in 0..100 with a* and b* unscaled."""
     lr, lg, lb = _linear(r), _linear(g), _linear(b)

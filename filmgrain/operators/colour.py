@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmgrain.config import Chromatic, LightingKey
-from filmgrain.functions.colour import hex_code, lab, lab_to_rgb
+from filmgrain.functions.colour import hex_code, lab, lab_to_rgb, near_black
 from filmgrain.functions.numeric import clip, dbl
 from filmgrain.operators.ordered import with_row_number
 
@@ -17,38 +17,43 @@ def with_lab(pixels: DataFrame) -> DataFrame:
 
 
 def picture_bounds(pixels: DataFrame, frame: list[str], cfg: Chromatic = Chromatic()) -> DataFrame:
-    """Rows and columns left after peeling near-black bars off each frame's border.
+    """Rows and columns left after peeling near-black bars off each frame's border, with
+    the frame's pixel count and the pixels inside the picture.
 
-    Peeling stops at the first line that is not a bar, so the edge is the least (or
+    Peeling stops at the first line that is not a bar, so an edge is the least (or
     greatest) such line. Columns are judged inside the kept rows. Frames that are all bar
-    keep null bounds. Only partial sums per line are shuffled.
+    keep null bounds. Only sums per line are shuffled, and the pixel counts come from the
+    same sums.
     """
-    near = (F.col("lstar") <= cfg.letterbox_lstar_max).cast("int")
+    near = near_black(F.col("r"), F.col("g"), F.col("b"), cfg.letterbox_lstar_max).cast("int")
 
-    def edges(df: DataFrame, line: str, low: str, high: str) -> DataFrame:
-        share = df.groupBy(*frame, line).agg(F.avg(near).alias("_share"))
-        open_line = F.when(F.col("_share") < cfg.letterbox_coverage, F.col(line))
-        return share.groupBy(*frame).agg(F.min(open_line).alias(low), F.max(open_line).alias(high))
+    def lines(df: DataFrame, line: str) -> DataFrame:
+        sums = df.groupBy(*frame, line).agg(F.count(F.lit(1)).alias("_n"), F.sum(near).alias("_dark"))
+        return sums.withColumn("_open", F.when(F.col("_dark") / F.col("_n") < cfg.letterbox_coverage, F.col(line)))
 
-    rows = edges(pixels, "row_i", "top", "bottom")
+    rows = lines(pixels, "row_i").groupBy(*frame).agg(
+        F.min("_open").alias("top"), F.max("_open").alias("bottom"), F.sum("_n").alias("total_pixels"))
     inside = pixels.join(rows, frame).where(F.col("row_i").between(F.col("top"), F.col("bottom")))
-    return rows.join(edges(inside, "col_i", "left", "right"), frame, "left")
+    columns = lines(inside, "col_i")
+    # Columns are few, so their edges and the sum between them come from one small list.
+    packed = F.collect_list(F.struct("col_i", "_n"))
+    edges = columns.groupBy(*frame).agg(F.min("_open").alias("left"), F.max("_open").alias("right"), packed.alias("_cols"))
+    held = F.aggregate("_cols", F.lit(0).cast("bigint"), lambda t, c: t + F.when(c["col_i"].between(F.col("left"), F.col("right")), c["_n"]).otherwise(F.lit(0)))
+    edges = edges.withColumn("kept_pixels", held).drop("_cols")
+    return rows.join(edges, frame, "left").fillna({"kept_pixels": 0})
 
 
 def crop(pixels: DataFrame, bounds: DataFrame, frame: list[str]) -> DataFrame:
     """Pixels inside the picture of their frame."""
     keep = F.col("row_i").between(F.col("top"), F.col("bottom")) & F.col("col_i").between(F.col("left"), F.col("right"))
-    return pixels.join(bounds, frame).where(keep).drop("top", "bottom", "left", "right")
+    edges = bounds.select(*frame, "top", "bottom", "left", "right")
+    return pixels.join(edges, frame).where(keep).drop("top", "bottom", "left", "right")
 
 
-def usable_ratio(pixels: DataFrame, bounds: DataFrame, frame: list[str], by: str = "shot_id") -> DataFrame:
-    """Kept and total pixel counts per shot."""
-    keep = F.col("row_i").between(F.col("top"), F.col("bottom")) & F.col("col_i").between(F.col("left"), F.col("right"))
-    return pixels.join(bounds, frame, "left").groupBy(by).agg(
-        F.count_if(F.coalesce(keep, F.lit(False))).alias("kept_pixels"),
-        F.count(F.lit(1)).alias("total_pixels"),
-        F.countDistinct(*[f for f in frame if f != by] or [by]).alias("decoded_frames"),
-    )
+def usable_pixels(bounds: DataFrame, by: str = "shot_id") -> DataFrame:
+    """Kept and total pixels and frame count of each shot."""
+    return bounds.groupBy(by).agg(
+        F.sum("kept_pixels").alias("kept_pixels"), F.sum("total_pixels").alias("total_pixels"), F.count(F.lit(1)).alias("decoded_frames"))
 
 
 def spread_pixels(pixels: DataFrame, key: str, order: list[str], chunk: Column, max_rows: int) -> DataFrame:
@@ -236,10 +241,10 @@ def palette(pixels: DataFrame, key: str = "shot_id", cfg: Chromatic = Chromatic(
 def shot_colour(pixels: DataFrame, frame: list[str], order: list[str], chunk: Column,
                 cfg: Chromatic = Chromatic(), key: str = "shot_id") -> tuple[DataFrame, DataFrame]:
     """Colour values per shot and the palette rows, from raw pixels with r, g, b."""
-    df = with_lab(pixels)
-    bounds = picture_bounds(df, frame, cfg)
-    counts = usable_ratio(df, bounds, frame, key).withColumn("requested_frames", F.col("decoded_frames"))
-    sample = spread_pixels(crop(df, bounds, frame), key, order, chunk, cfg.max_pixels_per_shot)
+    bounds = picture_bounds(pixels, frame, cfg)
+    counts = usable_pixels(bounds, key).withColumn("requested_frames", F.col("decoded_frames"))
+    # Only pixels that survive the cap are converted.
+    sample = with_lab(spread_pixels(crop(pixels, bounds, frame), key, order, chunk, cfg.max_pixels_per_shot))
     swatches = palette(sample, key, cfg)
     light = lightness(sample, key, cfg)
     held = swatches.groupBy(key).agg(F.count(F.lit(1)).alias("swatches"))

@@ -20,6 +20,19 @@ def clip_window():
     return Window.partitionBy("clip_id")
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small table over all shuffle partitions before each row grows into many.
+
+    The adaptive planner sizes partitions by the rows it has seen, so without this a few
+    megabytes of clips would be expanded into all their points by one task. The number is
+    given, which keeps it from being merged again; it is a multiple of the usual one, as a
+    repartition to the same number on the same keys is dropped as redundant. Later joins
+    and windows on these keys find the rows already in place.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(4 * n, *keys)
+
+
 def _by_chunk(keys: Sequence[str]) -> list[str]:
     return [*keys, "_chunk"]
 

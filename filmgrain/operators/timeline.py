@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmgrain.config import Tension, TensionWeights
 from filmgrain.functions.numeric import clip01, dbl, int_div
-from filmgrain.operators.ordered import clip_window
+from filmgrain.operators.ordered import clip_window, fan_out
 from filmgrain.operators.shots import assign_shots
 
 AUDIO_MISSING = "audio_unavailable_weights_renormalized"
@@ -25,7 +25,7 @@ def hop_starts(clips: DataFrame, hop_ms: int, keep: tuple[str, ...] = ()) -> Dat
     if hop_ms <= 0:
         return clips.select("clip_id", F.lit(0).cast("bigint").alias("at_ms"), *keep).limit(0)
     last = F.col("duration_ms") - 1
-    return clips.where("duration_ms > 0").select(
+    return fan_out(clips.where("duration_ms > 0"), "clip_id").select(
         "clip_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(hop_ms).cast("bigint"))).alias("at_ms"), *keep
     )
 

@@ -256,7 +256,7 @@ def prj31(v):
         F.lit('","input_artifact_ids":["'), stable_uuid("a", k), F.lit('"],"configuration_hash":"'), F.sha2(F.col("props"), 256),
         F.lit('","pipeline_version":"0.1.0","requested_at":"2024-01-01T00:00:00Z","trace_id":"t"'), extra, F.lit("}"))
     doc = F.when(m(9), F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
-    return v.table("events").select("event_id", X.command_verdict(doc).alias("verdict"))
+    return X.screen_commands(v.table("events").select("event_id", doc.alias("doc"))).select("event_id", "verdict")
 
 
 def _stem_sql(c: str) -> str:

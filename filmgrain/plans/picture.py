@@ -124,7 +124,7 @@ def ag04(v):
 
 @query("wn08_letterbox_bounds", 'SELECT shot_id, top, bottom, "left", "right" FROM v_picture')
 def wn08(v):
-    return C.picture_bounds(C.with_lab(v.pixels()), SHOT)
+    return C.picture_bounds(v.pixels(), SHOT).select("shot_id", "top", "bottom", "left", "right")
 
 
 @query("wn09_spread_pixels", "SELECT shot_id, frame_ord, row_i, col_i, k1, k2 FROM v_capped")
@@ -133,8 +133,8 @@ def wn09(v):
 
 
 def _capped(v: Views):
-    px = C.with_lab(v.pixels())
-    return C.spread_pixels(C.crop(px, C.picture_bounds(px, SHOT), SHOT), "shot_id", ORDER, _chunk(), CAP)
+    px = v.pixels()
+    return C.with_lab(C.spread_pixels(C.crop(px, C.picture_bounds(px, SHOT), SHOT), "shot_id", ORDER, _chunk(), CAP))
 
 
 _L = ("mean_lstar", "stddev_lstar", "p10_lstar", "p50_lstar", "p90_lstar", "shadow_ratio", "highlight_ratio")
@@ -151,9 +151,8 @@ SELECT shot_id, {q6('u', 'usable_pixel_ratio')}, CASE WHEN shot_id%11=0 THEN 'IN
  WHEN u < 0.834 THEN 'chromatic_letterbox_insufficient' WHEN kept=0 THEN 'chromatic_no_usable_pixels' WHEN shot_id%5=0 THEN 'chromatic_cluster_failed' END reason_code
 FROM (SELECT *, kept/total u FROM v_usable)""")
 def ag03(v):
-    px = C.with_lab(v.pixels())
     s = F.col("shot_id")
-    df = C.usable_ratio(px, C.picture_bounds(px, SHOT), SHOT).withColumns({
+    df = C.usable_pixels(C.picture_bounds(v.pixels(), SHOT)).withColumns({
         "requested_frames": F.when(F.pmod(s, F.lit(11)) == 0, 0).otherwise(3),
         "decoded_frames": F.when(F.pmod(s, F.lit(7)) == 0, 0).otherwise(3),
         "swatches": F.when(F.pmod(s, F.lit(5)) == 0, 0).otherwise(2),
