@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from filmgrain.functions.numeric import dbl, int_div
+from filmgrain.operators.ordered import join_one
 from filmgrain.operators.timeline import hop_starts
 
 FFT_SIZE, FFT_HOP = 512, 256
@@ -15,7 +16,7 @@ SILENCE_DB = -120.0
 
 def _in_clip(pcm: DataFrame, clips: DataFrame, rate: int) -> DataFrame:
     last = F.floor(F.col("duration_ms") * rate / 1000)
-    return pcm.join(clips.select("clip_id", "duration_ms"), "clip_id").where(F.col("i") < last)
+    return join_one(pcm, clips.select("clip_id", "duration_ms"), ["clip_id"]).where(F.col("i") < last)
 
 
 def _windows_of(index, rate: int, hop_ms: int, window_ms: int):

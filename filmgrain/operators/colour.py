@@ -16,6 +16,13 @@ def with_lab(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns(lab(F.col("r"), F.col("g"), F.col("b")))
 
 
+def _kept_rows(bounds: DataFrame, frame: list[str], *columns: str) -> DataFrame:
+    """One row per kept pixel row, so pixels join on frame and row: the row test becomes
+    part of the key and a frame with very many pixels is spread over its rows."""
+    open_frames = bounds.where(F.col("top").isNotNull())
+    return open_frames.select(*frame, *columns, F.explode(F.sequence("top", "bottom")).alias("row_i"))
+
+
 def picture_bounds(pixels: DataFrame, frame: list[str], cfg: Chromatic = Chromatic()) -> DataFrame:
     """Rows and columns left after peeling near-black bars off each frame's border, with
     the frame's pixel count and the pixels inside the picture.
@@ -33,8 +40,7 @@ def picture_bounds(pixels: DataFrame, frame: list[str], cfg: Chromatic = Chromat
 
     rows = lines(pixels, "row_i").groupBy(*frame).agg(
         F.min("_open").alias("top"), F.max("_open").alias("bottom"), F.sum("_n").alias("total_pixels"))
-    inside = pixels.join(rows, frame).where(F.col("row_i").between(F.col("top"), F.col("bottom")))
-    columns = lines(inside, "col_i")
+    columns = lines(pixels.join(_kept_rows(rows, frame), [*frame, "row_i"]), "col_i")
     # Columns are few, so their edges and the sum between them come from one small list.
     packed = F.collect_list(F.struct("col_i", "_n"))
     edges = columns.groupBy(*frame).agg(F.min("_open").alias("left"), F.max("_open").alias("right"), packed.alias("_cols"))
@@ -45,9 +51,8 @@ def picture_bounds(pixels: DataFrame, frame: list[str], cfg: Chromatic = Chromat
 
 def crop(pixels: DataFrame, bounds: DataFrame, frame: list[str]) -> DataFrame:
     """Pixels inside the picture of their frame."""
-    keep = F.col("row_i").between(F.col("top"), F.col("bottom")) & F.col("col_i").between(F.col("left"), F.col("right"))
-    edges = bounds.select(*frame, "top", "bottom", "left", "right")
-    return pixels.join(edges, frame).where(keep).drop("top", "bottom", "left", "right")
+    rows = _kept_rows(bounds, frame, "left", "right")
+    return pixels.join(rows, [*frame, "row_i"]).where(F.col("col_i").between(F.col("left"), F.col("right"))).select(pixels.columns)
 
 
 def usable_pixels(bounds: DataFrame, by: str = "shot_id") -> DataFrame:

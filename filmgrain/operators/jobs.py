@@ -126,7 +126,7 @@ def claimable(analyses: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     """Queued analyses, and running ones that hold no live lease."""
     live = runs.where(F.col("state").isin("LEASED", "RUNNING") & (F.col("lease_expires_at") >= now))
     free = analyses.where(F.col("state").isin("RUNNING", "CANCEL_REQUESTED")).join(
-        live.select("analysis_id"), "analysis_id", "left_anti")
+        live.select("analysis_id").distinct(), "analysis_id", "left_anti")
     return analyses.where(F.col("state") == "QUEUED").unionByName(free.select(*analyses.columns))
 
 

@@ -33,6 +33,19 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(4 * n, *keys)
 
 
+def join_one(big: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join rows to a table with one row per key when a key may hold much of ``big``.
+
+    The row of each key is listed once per salt and every big row takes one of them by its
+    content, so a hot key is read by ``salts`` tasks. Where the planner measures ``one``
+    as small it broadcasts it and the salt costs nothing.
+    """
+    rest = [c for c in big.columns if c not in keys]
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    right = one.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def _by_chunk(keys: Sequence[str]) -> list[str]:
     return [*keys, "_chunk"]
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from filmgrain.config import Shots
 from filmgrain.functions.identity import stable_uuid
 from filmgrain.functions.numeric import dbl, int_div
-from filmgrain.operators.ordered import clip_window, with_neighbour_mean
+from filmgrain.operators.ordered import clip_window, join_one, with_neighbour_mean
 
 CHUNK_MS = 16_384
 
@@ -37,14 +37,11 @@ def score_changes(scores: DataFrame, rules: Shots = Shots(), reach: int = 2) ->
 def internal_cuts(boundaries: DataFrame, durations: DataFrame) -> DataFrame:
     """Distinct positions strictly inside the clip; the first boundary of a position is
     kept as ``first_ord`` and the last as ``last_ord``."""
-    inside = boundaries.join(durations.select("clip_id", "duration_ms"), "clip_id").where(
+    spots = boundaries.groupBy("clip_id", "position_ms").agg(
+        F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+    return spots.join(durations.select("clip_id", "duration_ms"), "clip_id").where(
         (F.col("position_ms") > 0) & (F.col("position_ms") < F.col("duration_ms"))
-    )
-    return inside.groupBy("clip_id", "position_ms").agg(
-        F.max("duration_ms").alias("duration_ms"),
-        F.min("ord").alias("first_ord"),
-        F.max("ord").alias("last_ord"),
-    )
+    ).select("clip_id", "position_ms", "duration_ms", "first_ord", "last_ord")
 
 
 def _with_edges(cuts: DataFrame, durations: DataFrame) -> DataFrame:
@@ -169,7 +166,7 @@ def assign_shots(points: DataFrame, shots: DataFrame, at: str = "at_ms", bin_ms:
     if not fallback:
         return out
     last = shots.groupBy("clip_id").agg(F.max("shot_index").alias("_last"))
-    return out.join(last, "clip_id", "left").withColumn("shot_index", F.coalesce("shot_index", "_last")).drop("_last")
+    return join_one(out, last, ["clip_id"], "left").withColumn("shot_index", F.coalesce("shot_index", "_last")).drop("_last")
 
 
 def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
