@@ -30,7 +30,7 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     and windows on these keys find the rows already in place.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(4 * n, *keys)
+    return df.repartition(2 * n, *keys)
 
 
 def join_one(big: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:

@@ -23,7 +23,7 @@ MAX_POINTS = 2_000
 def hop_starts(clips: DataFrame, hop_ms: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every hop start in [0, duration); none for a duration or hop that is not positive."""
     if hop_ms <= 0:
-        return clips.select("clip_id", F.lit(0).cast("bigint").alias("at_ms"), *keep).limit(0)
+        return clips.select("clip_id", F.lit(0).cast("bigint").alias("at_ms"), *keep).where(F.lit(False))
     last = F.col("duration_ms") - 1
     return fan_out(clips.where("duration_ms > 0"), "clip_id").select(
         "clip_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(hop_ms).cast("bigint"))).alias("at_ms"), *keep

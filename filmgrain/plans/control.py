@@ -28,7 +28,7 @@ add_views({
     "v_avail": """SELECT c_custkey analysis_id, CASE c_custkey%4 WHEN 0 THEN 'PARTIAL' ELSE 'COMPLETE' END chromatic,
       CASE c_custkey%5 WHEN 0 THEN 'UNAVAILABLE' ELSE 'COMPLETE' END spatial, CASE c_custkey%7 WHEN 0 THEN 'PARTIAL' ELSE 'COMPLETE' END motion,
       CASE c_custkey%3 WHEN 0 THEN 'UNAVAILABLE' ELSE 'COMPLETE' END audio, 'COMPLETE' tension, 'NOT_REQUESTED' critic, c_custkey%2=0 has_audio,
-      c_custkey%6=0 spatial_requested FROM customer WHERE c_custkey%11<>0""",
+      c_custkey%6=0 spatial_requested FROM customer WHERE c_acctbal >= 0""",
     "v_metric": """SELECT event_id, CASE event_id%6 WHEN 0 THEN 'stage_duration_ms' WHEN 1 THEN 'cache_hits_total' WHEN 2 THEN 'bogus' WHEN 3 THEN 'queue_wait_ms'
       WHEN 4 THEN 'stage_runs_total' ELSE 'stage_duration_ms' END name, CASE event_type WHEN 'view' THEN 'report' WHEN 'click' THEN 'sampling' ELSE event_type END st,
       CAST(floor(value) AS BIGINT)-20 val FROM events""",
@@ -67,7 +67,7 @@ def ag20(v):
 
 def _availability(v: Views):
     k = "c_custkey"
-    return v.table("customer").where(_mod(k, 11) != 0).select(
+    return v.table("customer").where(F.col("c_acctbal") >= 0).select(
         F.col(k).alias("analysis_id"), F.when(_mod(k, 4) == 0, "PARTIAL").otherwise("COMPLETE").alias("chromatic"),
         F.when(_mod(k, 5) == 0, "UNAVAILABLE").otherwise("COMPLETE").alias("spatial"), F.when(_mod(k, 7) == 0, "PARTIAL").otherwise("COMPLETE").alias("motion"),
         F.when(_mod(k, 3) == 0, "UNAVAILABLE").otherwise("COMPLETE").alias("audio"), F.lit("COMPLETE").alias("tension"), F.lit("NOT_REQUESTED").alias("critic"),
@@ -388,15 +388,15 @@ def dq13(v):
 
 @query("dq14_job_keys", """
 SELECT analysis_id k, 'one_success' rule_id FROM v_stage_runs WHERE state='SUCCEEDED' GROUP BY analysis_id, stage_name HAVING count(*) > 1 UNION ALL
-SELECT DISTINCT l_partkey, 'part_known' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey%50<>0) UNION ALL
+SELECT c_custkey, 'order_known' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL
 SELECT ord, 'attempt_positive' FROM v_stage_runs WHERE attempt < 3 UNION ALL SELECT ord, 'state_known' FROM v_stage_runs WHERE state='PENDING'""")
 def dq14(v):
     runs = _runs(v)
     twice = Q.unique(runs.where("state = 'SUCCEEDED'"), ["analysis_id", "stage_name"], "one_success").select(F.col("analysis_id").alias("k"), "rule_id")
-    child = v.table("lineitem").withColumnRenamed("l_partkey", "k")
-    parent = v.table("part").where(_mod("p_partkey", 50) != 0).withColumnRenamed("p_partkey", "k")
+    child = v.table("customer").withColumnRenamed("c_custkey", "k")
+    parent = v.table("orders").withColumnRenamed("o_custkey", "k")
     rows = Q.violations(runs.withColumn("k", F.col("ord")), ["k"], {"attempt_positive": F.col("attempt") - 2 < 1, "state_known": ~F.col("state").isin("SUCCEEDED", "FAILED_RETRYABLE")})
-    return twice.unionByName(Q.missing_parent(child, parent, "k", "part_known")).unionByName(rows)
+    return twice.unionByName(Q.missing_parent(child, parent, "k", "order_known")).unionByName(rows)
 
 
 @query("dq15_provenance", "SELECT l_orderkey, l_linenumber, l_partkey, 'completed_after_start' rule_id FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'")

@@ -111,20 +111,20 @@ def src02(v):
 
 
 @query("src03_dedupe_ingest", """
-WITH old AS (SELECT sha, min(doc_id) doc_id FROM v_content WHERE doc_id%3=0 GROUP BY 1), new AS (SELECT sha, min(doc_id) doc_id FROM v_content GROUP BY 1)
+WITH old AS (SELECT sha, min(doc_id) doc_id FROM v_content WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1), new AS (SELECT sha, min(doc_id) doc_id FROM v_content GROUP BY 1)
 SELECT new.sha, coalesce(old.doc_id, new.doc_id) doc_id, old.sha IS NOT NULL reused FROM new LEFT JOIN old ON old.sha=new.sha""")
 def src03(v):
     c = v.content()
-    stored = K.first_writers(c.where(F.pmod("doc_id", F.lit(3)) == 0), "sha", "doc_id")
+    stored = K.first_writers(K.lookup(c, v.table("labels").select("doc_id")), "sha", "doc_id")
     return K.dedupe_ingest(c, stored, "sha", "doc_id").select("sha", "doc_id", "reused")
 
 
 @query("src08_insert_ignore", """
-WITH old AS (SELECT DISTINCT sha FROM v_content WHERE doc_id%2=0)
+WITH old AS (SELECT DISTINCT sha FROM v_content WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT sha, min(doc_id) doc_id FROM v_content WHERE sha NOT IN (SELECT sha FROM old) GROUP BY 1""")
 def src08(v):
     c = v.content()
-    return K.insert_ignore(c, c.where(F.pmod("doc_id", F.lit(2)) == 0), ["sha"], "doc_id").select("sha", "doc_id")
+    return K.insert_ignore(c, K.lookup(c, v.table("labels").select("doc_id")), ["sha"], "doc_id").select("sha", "doc_id")
 
 
 @query("src07_upsert_summary", """
@@ -182,10 +182,10 @@ def src06(v):
     return T.read_stored(v.spark, path)
 
 
-@query("src09_statistics_csv", "SELECT clip_id, at_ms, score FROM v_scores WHERE score >= 50")
+@query("src09_statistics_csv", "SELECT clip_id, at_ms, score FROM v_scores")
 def src09(v):
     path = _scratch(v, "stats")
-    T.write_statistics(v.scores().where(F.col("score") >= 50).select("clip_id", "at_ms", "score"), path)
+    T.write_statistics(v.scores().select("clip_id", "at_ms", "score"), path)
     return v.spark.read.option("header", True).schema("clip_id bigint, at_ms bigint, score double").csv(path)
 
 
@@ -213,10 +213,10 @@ def prj05(v):
 
 
 @query("jn15_point_lookup", """
-SELECT doc_id, sha FROM v_content WHERE sha IN (SELECT sha256(text) FROM benchmark) OR sha IN (SELECT sha FROM v_content WHERE doc_id%50=0)""")
+SELECT doc_id, sha FROM v_content WHERE sha IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))""")
 def jn15(v):
     c = v.content()
-    keys = c.where(F.pmod("doc_id", F.lit(50)) == 0).select("sha").unionByName(v.table("benchmark").select(sha256_text(F.col("text")).alias("sha")))
+    keys = K.lookup(c, v.table("labels").select("doc_id")).select("sha")
     return K.lookup(c, keys).select("doc_id", "sha")
 
 

@@ -111,11 +111,10 @@ def jn09(v):
 
 @query("jn10_representative_sample", """
 SELECT s.clip_id, s.shot_index, r.sample_id representative_sample_id FROM v_shots s LEFT JOIN
-(SELECT clip_id, shot_index, arg_max(sample_id, ord) sample_id FROM v_plan WHERE list_contains(ranks, 3) AND shot_index%4<>0 GROUP BY 1, 2) r
+(SELECT clip_id, shot_index, arg_max(sample_id, ord) sample_id FROM v_plan WHERE list_contains(ranks, 3) GROUP BY 1, 2) r
 ON r.clip_id=s.clip_id AND r.shot_index=s.shot_index""")
 def jn10(v):
-    plan = _plan(v).where(F.pmod("shot_index", F.lit(4)) != 0)
-    return P.representatives(S.with_shot_ids(v.shots()), plan).select("clip_id", "shot_index", "representative_sample_id")
+    return P.representatives(S.with_shot_ids(v.shots()), _plan(v)).select("clip_id", "shot_index", "representative_sample_id")
 
 
 @query("prj29_samples_for_purpose", "SELECT clip_id, ord, sample_id, hit_ms decoded_ms FROM v_manifest WHERE ok AND list_contains(ranks, 1)")
@@ -239,7 +238,17 @@ def ag12(v):
     return out.select("clip_id", "start_ms", r6(F.col("rms_dbfs")).alias("rms_dbfs"))
 
 
-@query("ag13_spectral_flux")
+@query("ag13_spectral_flux", f"""
+WITH w AS (SELECT clip_id, start_ms, start_ms*1024//1000 a, least(start_ms+1000, duration_ms)*1024//1000 - start_ms*1024//1000 n
+  FROM (SELECT clip_id, unnest(range(0, duration_ms, 500)) start_ms, duration_ms FROM v_pcm_clips)),
+o AS (SELECT clip_id, start_ms, a, unnest(range(0, n-511, 256)) o FROM w WHERE n >= 512),
+x AS (SELECT o.clip_id, o.start_ms, o.o, p.i-o.a-o.o j, p.x*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*(p.i-o.a-o.o)/511)) y FROM o JOIN v_pcm p ON p.clip_id=o.clip_id AND p.i >= o.a+o.o AND p.i < o.a+o.o+512),
+t AS (SELECT unnest(range(0, 512)) m), tab AS (SELECT m, cos(2*pi()*m/512) c, sin(2*pi()*m/512) s FROM t), k AS (SELECT unnest(range(0, 257)) k),
+kj AS (SELECT k, m j, (k*m)%512 q FROM k, t), g AS (SELECT kj.k, kj.j, tab.c, tab.s FROM kj JOIN tab ON tab.m=kj.q),
+mag AS (SELECT clip_id, start_ms, o, k, sqrt(sum(y*c)*sum(y*c)+sum(y*s)*sum(y*s)) v FROM x JOIN g ON g.j=x.j GROUP BY 1, 2, 3, 4),
+rise AS (SELECT *, greatest(v-lag(v) OVER (PARTITION BY clip_id, start_ms, k ORDER BY o), 0) r FROM mag),
+f AS (SELECT clip_id, start_ms, avg(e) flux FROM (SELECT clip_id, start_ms, o, sum(r) e FROM rise WHERE o > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT w.clip_id, w.start_ms, {q6('coalesce(f.flux, 0)', 'flux')} FROM w LEFT JOIN f ON f.clip_id=w.clip_id AND f.start_ms=w.start_ms""")
 def ag13(v):
     pcm = _pcm(v)
     return A.spectral_flux(pcm, _pcm_clips(pcm), RATE).select("clip_id", "start_ms", r6(F.col("flux")).alias("flux"))

@@ -45,8 +45,10 @@ add_views({
       FROM v_lab p LEFT JOIN v_picture b ON b.shot_id=p.shot_id GROUP BY 1""",
     "v_ranked_px": """SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY frame_ord, row_i, col_i, k1, k2, r, g, b)-1 pos,
       count(*) OVER (PARTITION BY shot_id) n FROM v_cropped""",
-    "v_steps": f"SELECT shot_id, n, floor(unnest(range(0, {CAP}))*(n/{CAP}.0::DOUBLE)) pos FROM (SELECT DISTINCT shot_id, n FROM v_ranked_px)",
-    "v_capped": f"""SELECT p.* FROM v_ranked_px p WHERE n <= {CAP} OR EXISTS (SELECT 1 FROM v_steps s WHERE s.shot_id=p.shot_id AND s.pos=p.pos)""",
+    **{k: q for name, cap in (("v_thin", CAP), ("v_capped", 50_000)) for k, q in {
+        f"{name}_steps": f"SELECT shot_id, n, floor(unnest(range(0, {cap}))*(n/{cap}.0::DOUBLE)) pos FROM (SELECT DISTINCT shot_id, n FROM v_ranked_px WHERE n > {cap})",
+        name: f"SELECT p.* FROM v_ranked_px p WHERE n <= {cap} OR EXISTS (SELECT 1 FROM {name}_steps s WHERE s.shot_id=p.shot_id AND s.pos=p.pos)",
+    }.items()},
     "v_light": """SELECT shot_id, avg(l) mean_lstar, stddev_pop(l) stddev_lstar, quantile_cont(l, 0.1) p10_lstar, quantile_cont(l, 0.5) p50_lstar,
       quantile_cont(l, 0.9) p90_lstar, avg(CASE WHEN l < 20 THEN 1 ELSE 0 END) shadow_ratio, avg(CASE WHEN l > 80 THEN 1 ELSE 0 END) highlight_ratio
       FROM (SELECT shot_id, greatest(0, least(100, lstar)) l FROM v_capped) GROUP BY 1""",
@@ -55,7 +57,7 @@ add_views({
       CASE frame_ord%3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 1.5::DOUBLE END f FROM v_lab) GROUP BY 1""",
     "v_keyed": """SELECT *, CASE WHEN p50_lstar < 40 AND (p90_lstar-p10_lstar > 45 OR shadow_ratio > 0.4) THEN 'LOW_KEY_ESTIMATE'
       WHEN p50_lstar > 65 AND shadow_ratio < 0.1 AND p90_lstar-p10_lstar < 45 THEN 'HIGH_KEY_ESTIMATE' ELSE 'BALANCED_ESTIMATE' END k FROM v_tones""",
-    "v_centres": """SELECT shot_id, frame_ord c, avg(lstar) lstar, avg(a_star) a_star, avg(b_star) b_star, count(*) n FROM v_lab WHERE frame_ord <= 5 GROUP BY 1, 2""",
+    "v_centres": """SELECT shot_id, frame_ord%5 c, avg(lstar) lstar, avg(a_star) a_star, avg(b_star) b_star, count(*) n FROM v_lab GROUP BY 1, 2""",
     "v_hex": """SELECT shot_id, h hex, n, w FROM (SELECT shot_id, '#' || h h, count(*) n, min(x) w FROM (SELECT shot_id,
       printf('%02X%02X%02X', r//96*96, g//96*96, b//128*128) h, lstar x FROM v_lab) GROUP BY 1, 2)""",
     "v_boxes": """SELECT *, (x_min+x_max)/2 cx, (y_min+y_max)/2 cy, y_max-y_min h, (x_max-x_min)*(y_max-y_min) area FROM v_detections""",
@@ -127,14 +129,14 @@ def wn08(v):
     return C.picture_bounds(v.pixels(), SHOT).select("shot_id", "top", "bottom", "left", "right")
 
 
-@query("wn09_spread_pixels", "SELECT shot_id, frame_ord, row_i, col_i, k1, k2 FROM v_capped")
+@query("wn09_spread_pixels", "SELECT shot_id, frame_ord, row_i, col_i, k1, k2 FROM v_thin")
 def wn09(v):
-    return _capped(v).select("shot_id", "frame_ord", "row_i", "col_i", "k1", "k2")
+    return _capped(v, CAP).select("shot_id", "frame_ord", "row_i", "col_i", "k1", "k2")
 
 
-def _capped(v: Views):
+def _capped(v: Views, cap: int = Chromatic().max_pixels_per_shot):
     px = v.pixels()
-    return C.with_lab(C.spread_pixels(C.crop(px, C.picture_bounds(px, SHOT), SHOT), "shot_id", ORDER, _chunk(), CAP))
+    return C.with_lab(C.spread_pixels(C.crop(px, C.picture_bounds(px, SHOT), SHOT), "shot_id", ORDER, _chunk(), cap))
 
 
 _L = ("mean_lstar", "stddev_lstar", "p10_lstar", "p50_lstar", "p90_lstar", "shadow_ratio", "highlight_ratio")
@@ -191,10 +193,10 @@ def ag14(v):
 
 
 def _centres(v: Views):
-    """Mean colour of each of the first five frames, standing in for cluster centres."""
-    px = C.with_lab(v.pixels()).where("frame_ord <= 5")
-    return px.groupBy("shot_id", "frame_ord").agg(
-        *[F.avg(c).alias(c) for c in ("lstar", "a_star", "b_star")], F.count(F.lit(1)).alias("n")).drop("frame_ord")
+    """Mean colours of five groups of frames, standing in for cluster centres."""
+    px = C.with_lab(v.pixels()).withColumn("part", F.pmod("frame_ord", F.lit(5)))
+    return px.groupBy("shot_id", "part").agg(
+        *[F.avg(c).alias(c) for c in ("lstar", "a_star", "b_star")], F.count(F.lit(1)).alias("n")).drop("part")
 
 
 @query("ag15_merge_centres", f"""
@@ -242,7 +244,7 @@ def ag17(v):
 @query("shot_palette")
 def shot_palette(v):
     """Whole colour chain per shot: crop, cap, cluster, merge and rank."""
-    _, sw = C.shot_colour(v.pixels(), SHOT, ORDER, _chunk(), Chromatic(max_pixels_per_shot=CAP))
+    _, sw = C.shot_colour(v.pixels(), SHOT, ORDER, _chunk())
     return sw.select("shot_id", F.col("rank").cast("bigint").alias("rank"), "hex", "n", r6(F.col("proportion")).alias("proportion"))
 
 

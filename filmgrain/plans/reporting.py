@@ -9,7 +9,7 @@ from filmgrain.functions.numeric import dbl, r6
 from filmgrain.operators import quality as Q, report as R, timeline as T
 from filmgrain.operators.shots import with_shot_ids
 from filmgrain.plans.activity import _simple
-from filmgrain.plans.picture import _L, _capped
+from filmgrain.plans.picture import _capped
 from filmgrain.operators.colour import lightness
 from filmgrain.plans.registry import query
 from filmgrain.plans.sqltext import add_views, exact_round as er, r6 as q6, uuid_sql
@@ -161,7 +161,11 @@ def prj24(v):
     return R.evidence_chips(_facts(v))
 
 
-@query("prj33_facts_identity")
+@query("prj33_facts_identity", """
+SELECT clip_id, sha256('{"composition":{"median_thirds_proximity":' || coalesce(median_thirds::VARCHAR, 'null') || ',"valid_shot_ratio":' || spatial_valid_ratio || '},"editing":{"asl_seconds":' || asl_seconds ||
+ ',"median_seconds":' || median_seconds || ',"shot_count":' || shot_count || '},"lighting":{"low_key_ratio":' || low_key_ratio::DOUBLE || ',"valid_shot_ratio":' || chromatic_valid_ratio || '},"palette":[' ||
+ array_to_string(list_transform(palette, lambda h: '"' || h || '"'), ',') || '],"schema_version":"1.0","tension_proxy":{"audio_available":' || CASE WHEN audio_available THEN 'true' ELSE 'false' END ||
+ ',"peak_seconds":[' || array_to_string(list_transform(peak_seconds, lambda p: p::VARCHAR), ',') || ']}}') facts_sha FROM v_critic""")
 def prj33_facts(v):
     return _facts(v).select("clip_id", F.sha2(R.facts_json(), 256).alias("facts_sha"))
 
@@ -212,10 +216,10 @@ def prj26(v):
 
 @query("prj27_tension_series", f"""
 SELECT s.clip_id, s.n points, {q6('s.total', 'total')}, s.at_list, coalesce(b.starts, '') boundaries FROM (SELECT clip_id, count(*) n, sum(combined_proxy) total, array_to_string(list(at_ms ORDER BY at_ms), ',') at_list
- FROM v_simple WHERE at_ms < 50000 GROUP BY 1) s LEFT JOIN (SELECT clip_id, array_to_string(list(start_ms ORDER BY start_ms), ',') starts FROM v_shots WHERE shot_index > 0 GROUP BY 1) b ON b.clip_id=s.clip_id""")
+ FROM v_simple GROUP BY 1) s LEFT JOIN (SELECT clip_id, array_to_string(list(start_ms ORDER BY start_ms), ',') starts FROM v_shots WHERE shot_index > 0 GROUP BY 1) b ON b.clip_id=s.clip_id""")
 def prj27(v):
     zero = dbl(0)
-    points = T.thin(_simple(v), 0, 50_000, 2000).withColumns({c: zero for c in ("cut_activity", "audio_activity", "motion_activity")})
+    points = T.thin(_simple(v), 0, 259_200, 2000).withColumns({c: zero for c in ("cut_activity", "audio_activity", "motion_activity")})
     s = R.tension_series(points, v.shots())
     text = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(n) for c, n in (("at_ms", "at_list"), ("shot_boundary_ms", "boundaries"))]
     return s.select("clip_id", F.size("at_ms").cast("bigint").alias("points"), r6(F.aggregate("combined_proxy", dbl(0), lambda a, x: a + x)).alias("total"), *text)
