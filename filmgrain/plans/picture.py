@@ -187,9 +187,26 @@ def prj13(v):
     return _tones(v).select("shot_id", r6(C.lighting_confidence(C.lighting_key())).alias("confidence"))
 
 
-@query("ag14_palette_centres")
+_DS = "list_transform(cs, lambda c: (l-c.l)*(l-c.l)+(a-c.a)*(a-c.a)+(b-c.b)*(b-c.b))"
+
+
+@query("ag14_palette_centres", f"""
+WITH c AS (SELECT shot_id, round(lstar, 3) l, round(a_star, 3) a, round(b_star, 3) b, count(*) n FROM v_capped GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY l, a, b) i, count(*) OVER (PARTITION BY shot_id) distinct_n FROM c),
+s(shot_id, k, cs) AS (SELECT shot_id, least(5, distinct_n), [{{'l': l, 'a': a, 'b': b}}] FROM (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, i) w FROM o) WHERE w=1
+ UNION ALL SELECT shot_id, k, list_append(cs, p) FROM (SELECT s.shot_id, s.k, s.cs, arg_max({{'l': l, 'a': a, 'b': b}}, list_min({_DS})) p FROM s JOIN o ON o.shot_id=s.shot_id WHERE len(s.cs) < s.k GROUP BY 1, 2, 3)),
+m(shot_id, it, k, cs, moved) AS (SELECT shot_id, 0, k, cs, true FROM s WHERE len(cs)=k UNION ALL
+ SELECT shot_id, it+1, k, ns, ns<>cs FROM (SELECT shot_id, it, k, cs, list_transform(range(1, k+1), lambda j: coalesce(list_filter(g, lambda x: x.j=j)[1].c, cs[j])) ns FROM (
+  SELECT shot_id, it, k, cs, list({{'j': j, 'c': {{'l': ml, 'a': ma, 'b': mb}}}}) g FROM (
+   SELECT shot_id, it, k, cs, j, sum(n*l)/sum(n) ml, sum(n*a)/sum(n) ma, sum(n*b)/sum(n) mb FROM (
+    SELECT m.shot_id, m.it, m.k, m.cs, o.n, o.l, o.a, o.b, list_position({_DS}, list_min({_DS})) j FROM m JOIN o ON o.shot_id=m.shot_id WHERE m.moved AND m.it < 100) GROUP BY 1, 2, 3, 4, 5)
+  GROUP BY 1, 2, 3, 4))),
+f AS (SELECT shot_id, arg_max(cs, it) cs FROM m GROUP BY 1),
+z AS (SELECT f.shot_id, f.cs, o.n, list_position({_DS}, list_min({_DS})) j FROM f JOIN o ON o.shot_id=f.shot_id)
+SELECT shot_id, {q6('any_value(cs[j].l)+1e-9', 'lstar')}, {q6('any_value(cs[j].a)+1e-9', 'a_star')}, {q6('any_value(cs[j].b)+1e-9', 'b_star')}, sum(n)::BIGINT n FROM z GROUP BY shot_id, j""")
 def ag14(v):
-    return C.palette_centres(_capped(v)).select("shot_id", *[r6(F.col(c)).alias(c) for c in ("lstar", "a_star", "b_star")], "n")
+    # Means of three-place values often end in an exact half; both sides lean up by 1e-9.
+    return C.palette_centres(_capped(v)).select("shot_id", *[r6(F.col(c) + dbl(1e-9)).alias(c) for c in ("lstar", "a_star", "b_star")], "n")
 
 
 def _centres(v: Views):
@@ -330,7 +347,29 @@ def ag11(v):
     return out.select("shot_id", "track_id", "framing", r6(F.col("framing_confidence")).alias("framing_confidence"))
 
 
-@query("wn21_track_subjects")
+_IW = "greatest(0, least(boxes[t].x1, hs[i].x1)-greatest(boxes[t].x0, hs[i].x0))*greatest(0, least(boxes[t].y1, hs[i].y1)-greatest(boxes[t].y0, hs[i].y0))"
+_IOU = (f"({_IW})/((boxes[t].x1-boxes[t].x0)*(boxes[t].y1-boxes[t].y0)+(hs[i].x1-hs[i].x0)*(hs[i].y1-hs[i].y0)-{_IW})")
+
+
+@query("wn21_track_subjects", f"""
+WITH b AS (SELECT shot_id, sample_ord, list({{'h': hit_ord, 'x0': x_min, 'y0': y_min, 'x1': x_max, 'y1': y_max}} ORDER BY hit_ord) hs FROM v_boxes
+  WHERE class_name='person' AND confidence >= 0.35 GROUP BY 1, 2),
+h AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY sample_ord) k FROM b),
+r(shot_id, k, boxes, got) AS (
+ SELECT DISTINCT shot_id, CAST(0 AS BIGINT), []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[], []::STRUCT(h BIGINT, t BIGINT)[] FROM h UNION ALL
+ SELECT shot_id, k, list_transform(range(1, len(boxes)+1), lambda t: CASE WHEN len(list_filter(ch, lambda g: g.t=t)) > 0 THEN
+   {{'x0': hs[list_filter(ch, lambda g: g.t=t)[1].i].x0, 'y0': hs[list_filter(ch, lambda g: g.t=t)[1].i].y0, 'x1': hs[list_filter(ch, lambda g: g.t=t)[1].i].x1, 'y1': hs[list_filter(ch, lambda g: g.t=t)[1].i].y1}}
+   ELSE boxes[t] END) || list_transform(free, lambda i: {{'x0': hs[i].x0, 'y0': hs[i].y0, 'x1': hs[i].x1, 'y1': hs[i].y1}}),
+  list_transform(ch, lambda g: {{'h': hs[g.i].h, 't': g.t}}) || list_transform(free, lambda i: {{'h': hs[i].h, 't': len(boxes)+list_position(free, i)}})
+ FROM (SELECT *, list_filter(range(1, len(hs)+1), lambda i: len(list_filter(ch, lambda g: g.i=i)) = 0) free FROM (
+  SELECT *, list_reduce(list_transform(list_sort(list_filter(flatten(list_transform(range(1, len(boxes)+1), lambda t: list_transform(range(1, len(hs)+1), lambda i: {{'s': -({_IOU}), 't': t, 'i': i}}))),
+    lambda p: p.s <= -0.3::DOUBLE)), lambda p: {{'t': p.t, 'i': p.i, 'got': []::STRUCT(t BIGINT, i BIGINT)[]}}),
+   lambda acc, x: CASE WHEN len(list_filter(acc.got, lambda g: g.t=x.t OR g.i=x.i)) > 0 THEN acc ELSE {{'t': x.t, 'i': x.i, 'got': list_append(acc.got, {{'t': x.t, 'i': x.i}})}} END,
+   {{'t': 0::BIGINT, 'i': 0::BIGINT, 'got': []::STRUCT(t BIGINT, i BIGINT)[]}}).got ch
+  FROM (SELECT r.shot_id, h.k, r.boxes, h.hs FROM r JOIN h ON h.shot_id=r.shot_id AND h.k=r.k+1)))),
+u AS (SELECT shot_id, k, unnest(got) g FROM r)
+SELECT u.shot_id, h.sample_ord, u.g.h hit_ord, 't' || lpad(CAST(u.g.t AS VARCHAR), 4, '0') track_id, {q6('d.cx', 'centroid_x')}, {q6('d.cy', 'centroid_y')} FROM u JOIN h ON h.shot_id=u.shot_id AND h.k=u.k
+JOIN v_boxes d ON d.shot_id=u.shot_id AND d.sample_ord=h.sample_ord AND d.hit_ord=u.g.h""")
 def wn21(v):
     out = X.track_subjects(v.detections())
     return out.select("shot_id", "sample_ord", "hit_ord", "track_id", r6(F.col("centroid_x")).alias("centroid_x"), r6(F.col("centroid_y")).alias("centroid_y"))
