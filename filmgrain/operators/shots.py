@@ -186,30 +186,29 @@ def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def match_cuts(predicted: DataFrame, expected: DataFrame, tolerance_ms: int = 200) -> DataFrame:
     """Precision and recall of predicted cut positions per clip.
 
-    Two positions further apart than the tolerance can never meet, so a clip is cut into
-    islands at every wider gap and only one island at a time goes to Python.
+    Both sides hold distinct positions (as ``internal_cuts`` gives them), so a clip is
+    bounded. Two positions further apart than the tolerance can never meet, so a clip is
+    cut into islands at every wider gap. An island with one position on either side and
+    at least one on the other has exactly one match (its neighbour in the island is near
+    enough), so only islands with two or more on both sides go to Python.
     """
     both = predicted.select("clip_id", "position_ms", "ord", F.lit(False).alias("is_expected")).unionByName(
         expected.select("clip_id", "position_ms", "ord", F.lit(True).alias("is_expected"))
     )
-    spots = both.select("clip_id", "position_ms").distinct()
-    w = clip_window().orderBy("position_ms")
+    w = clip_window().orderBy("position_ms", "is_expected")
     gap = F.col("position_ms") - F.lag("position_ms").over(w)
-    spots = spots.withColumn("_open", F.when(gap.isNull() | (gap > tolerance_ms), F.col("position_ms")))
-    spots = spots.select("clip_id", "position_ms", F.last("_open", ignorenulls=True).over(w).alias("island"))
-    # An island with only one side in it has no match; leave those out of Python.
-    tagged = both.join(spots, ["clip_id", "position_ms"])
-    mixed = tagged.groupBy("clip_id", "island").agg(
-        F.count_if("is_expected").alias("e"), F.count_if(~F.col("is_expected")).alias("p")
-    ).where("e > 0 and p > 0")
-    todo = tagged.join(mixed.select("clip_id", "island"), ["clip_id", "island"], "left_semi").withColumn(
-        "tolerance_ms", F.lit(tolerance_ms)
-    )
+    both = both.withColumn("_open", F.when(gap.isNull() | (gap > tolerance_ms), F.col("position_ms")))
+    both = both.withColumn("island", F.last("_open", ignorenulls=True).over(w))
+    island = Window.partitionBy("clip_id", "island")
+    mixed = both.withColumns({"_e": F.count_if("is_expected").over(island), "_all": F.count(F.lit(1)).over(island)})
+    todo = mixed.where("_e > 1 and _all - _e > 1").select(
+        "clip_id", "island", "position_ms", "ord", "is_expected", F.lit(tolerance_ms).alias("tolerance_ms"))
+    # One row of each plain island: its expected position, or its only prediction.
+    plain = mixed.where("(_e = 1 and _all > 1 and is_expected) or (_e > 1 and _all - _e = 1 and not is_expected)")
     clip_type = predicted.schema["clip_id"].dataType.simpleString()
-    hits = (
-        todo.groupBy("clip_id", "island").applyInPandas(_match_group, f"clip_id {clip_type}, hits bigint")
-        .groupBy("clip_id").agg(F.sum("hits").alias("hits"))
-    )
+    walked = todo.groupBy("clip_id", "island").applyInPandas(_match_group, f"clip_id {clip_type}, hits bigint")
+    hits = walked.unionByName(plain.select("clip_id", F.lit(1).cast("bigint").alias("hits"))).groupBy("clip_id").agg(
+        F.sum("hits").alias("hits"))
     sides = both.groupBy("clip_id").agg(
         F.count_if("is_expected").alias("expected"), F.count_if(~F.col("is_expected")).alias("predicted")
     )

@@ -331,7 +331,7 @@ SELECT m.shot_id, m.track_id primary_track_id, {q6('a', _V[0])}, {q6('h', _V[1])
  f.framing, {q6('f.framing_confidence', 'framing_confidence')} FROM m JOIN v_fconf f ON f.shot_id=m.shot_id AND f.track_id=m.track_id""")
 def ag09(v):
     obs, cfg = _obs(v), _with_floor()
-    out = X.spatial_values(obs, X.primary_tracks(obs, _counts(v), cfg), cfg)
+    out = X.spatial_values(obs, _counts(v), cfg)
     return out.select("shot_id", "primary_track_id", *[r6(F.col(c)).alias(c) for c in _V], "framing", r6(F.col("framing_confidence")).alias("framing_confidence"))
 
 
