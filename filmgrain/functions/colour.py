@@ -1,4 +1,4 @@
-"""sRGB, CIE L*a*b* (D65), hexadecimal and HSV expressions for 8-bit channels."""
+"""sRGB, CIE L*a*b* (D65), hexadecimal and marker-colour expressions for 8-bit channels."""
 
 from __future__ import annotations
 
@@ -86,26 +86,15 @@ def hex_code(r: Column, g: Column, b: Column) -> Column:
     return F.format_string("#%02X%02X%02X", r.cast("int"), g.cast("int"), b.cast("int"))
 
 
-def hsv(r: Column, g: Column, b: Column) -> dict[str, Column]:
-    """Hue on the 0..179 half-degree scale, saturation and value on 0..255."""
-    r, g, b = (c.cast("double") for c in (r, g, b))
+def is_marker_colour(r: Column, g: Column, b: Column) -> Column:
+    """Magenta used by the colour-blob subject finder: hue 130..170 on the half-degree
+    scale, saturation and value from 80 of 255, each rounded half to even.
+
+    The rounded bounds are hue 259..341 degrees and saturation from 79.5, so the test is
+    whole-number arithmetic on the channels: blue on top with enough red, or red on top
+    with enough blue.
+    """
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     span = top - low
-    turn = (
-        F.when(span == 0, dbl(0))
-        .when(top == r, dbl(60) * (g - b) / span)
-        .when(top == g, dbl(120) + dbl(60) * (b - r) / span)
-        .otherwise(dbl(240) + dbl(60) * (r - g) / span)
-    )
-    turn = F.when(turn < 0, turn + dbl(360)).otherwise(turn)
-    return {
-        "hue": F.rint(turn / dbl(2)).cast("int"),
-        "sat": F.when(top == 0, F.lit(0)).otherwise(F.rint(dbl(255) * span / top).cast("int")),
-        "val": top.cast("int"),
-    }
-
-
-def is_marker_colour(r: Column, g: Column, b: Column) -> Column:
-    """Magenta range used by the colour-blob subject finder."""
-    h = hsv(r, g, b)
-    return h["hue"].between(130, 170) & (h["sat"] >= 80) & (h["val"] >= 80)
+    hue = F.when(r == top, (b - g) * 60 >= span * 19).when(g == top, F.lit(False)).otherwise((r - g) * 60 >= span * 19)
+    return (span > 0) & hue & (span * 510 >= top * 159) & (top >= 80)
