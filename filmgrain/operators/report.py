@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from filmgrain.config import AnalysisConfig, DEFAULT_CONFIG, SCHEMA_VERSION
 from filmgrain.functions.numeric import clip, dbl, round_decimal
+from filmgrain.schemas import REPORT, keys
 
 PILLAR_KIND = {
     "shots": "Measured", "chromatic": "Measured", "spatial": "Estimated", "motion": "Measured",
@@ -54,6 +56,50 @@ def assemble(shots: DataFrame, chromatic: DataFrame, spatial: DataFrame, tempora
         F.count(F.lit(1)).alias("shot_count"), F.sum(gap).alias("missing"), F.array_sort(F.collect_list(item)).alias("shots"))
 
 
+def report_documents(reports: DataFrame, heads: DataFrame, config: AnalysisConfig = DEFAULT_CONFIG) -> DataFrame:
+    """JSON text of each report with every field of the fixed schema present.
+
+    ``heads``: clip_id, analysis_id, generated_at and the structs video, availability and
+    summary, one row per clip.
+    """
+    def analysis(s: Column) -> Column:
+        gone = F.lit(None).cast("string")
+        shot = F.struct(
+            s["shot_id"].alias("shot_id"), s["shot_index"].alias("index"),
+            F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms")).alias("time_range"),
+            gone.alias("incoming_boundary_id"), gone.alias("outgoing_boundary_id"), gone.alias("representative_sample_id"))
+        return F.struct(shot.alias("shot"), *[s[m].alias(m) for m in MEASURES])
+
+    whole = F.struct(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), "analysis_id", "video", "generated_at",
+        F.lit(config.pipeline_version).alias("pipeline_version"), F.lit(config.hash()).alias("configuration_hash"),
+        "availability", "summary", F.transform("shots", analysis).alias("shots"),
+        F.lit(None).cast("string").alias("timeline_artifact"), F.lit(None).cast("string").alias("critique"))
+    return reports.join(heads, "clip_id").select("analysis_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def report_verdicts(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Reads report documents with the fixed schema: identity, shot count and the first
+    broken document rule, null for a valid report."""
+    r = F.col("_r")
+    df = docs.withColumn("_r", F.from_json(doc, REPORT))
+    index = F.transform(r["shots"], lambda s: s["shot"]["index"])
+    extra = F.size(F.array_except(F.json_object_keys(doc), F.array(*[F.lit(k) for k in keys(REPORT)]))) > 0
+    count = F.coalesce(F.size(r["shots"]), F.lit(0))
+    problem = (
+        F.when(r["analysis_id"].isNull() | F.try_parse_json(doc).isNull(), "not_a_report").when(extra, "unknown_key")
+        .when(r["schema_version"].isNull() | (r["schema_version"] != SCHEMA_VERSION), "schema_version")
+        .when((count == 0) | (r["summary"]["shot_count"] != count), "shot_count")
+        .when(index != F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), "index_contiguous")
+        .when(~r["video"]["has_audio"] & (r["availability"]["audio"] == "COMPLETE"), "audio_without_stream"))
+    return df.select(*[c for c in docs.columns if c != doc], r["analysis_id"].alias("document_id"), r["schema_version"].alias("schema_version"),
+                     count.alias("shot_count"), problem.alias("problem"), problem.isNull().alias("valid"))
+
+
+def metric_kind(status: Column) -> Column:
+    return F.when(status == "OK", "Measured").otherwise("Unavailable")
+
+
 def _level(every: Column, some: Column) -> Column:
     return F.when(every, "COMPLETE").when(some, "PARTIAL").otherwise("UNAVAILABLE")
 

@@ -11,6 +11,7 @@ from filmgrain.functions.geometry import (
 )
 from filmgrain.functions.numeric import dbl, r6
 from filmgrain.operators import colour as C, spatial as X
+from filmgrain.operators.quantiles import Pick, grouped_quantiles
 from filmgrain.plans.registry import query
 from filmgrain.plans.sqltext import add_views, r6 as q6
 from filmgrain.views import Views
@@ -168,10 +169,9 @@ def _tones(v: Views):
     gain = F.when(f == 0, dbl(1)).when(f == 1, dbl(0.6)).otherwise(dbl(1.5))
     px = C.with_lab(v.pixels()).withColumns({
         "lstar": F.greatest(dbl(0), F.least(dbl(100), F.col("lstar"))) * gain, "shot_id": F.col("shot_id") * 10 + F.col("frame_ord")})
-    p = F.percentile("lstar", F.array(dbl(0.1), dbl(0.5), dbl(0.9)))
-    # One frame holds at most its own pixels; ties to the frame size of the working width.
-    return px.groupBy("shot_id").agg(p.alias("_p"), F.avg((F.col("lstar") < 20).cast("int")).alias("shadow_ratio")).select(
-        "shot_id", F.col("_p")[0].alias("p10_lstar"), F.col("_p")[1].alias("p50_lstar"), F.col("_p")[2].alias("p90_lstar"), "shadow_ratio")
+    picks = [Pick("p10_lstar", q=0.1), Pick("p50_lstar"), Pick("p90_lstar", q=0.9)]
+    dark = px.groupBy("shot_id").agg(F.avg((F.col("lstar") < 20).cast("int")).alias("shadow_ratio"))
+    return grouped_quantiles(px, ["shot_id"], "lstar", picks).join(dark, "shot_id")
 
 
 @query("prj12_lighting_key", "SELECT shot_id, k lighting_key FROM v_keyed")
@@ -190,20 +190,26 @@ def prj13(v):
 _DS = "list_transform(cs, lambda c: (l-c.l)*(l-c.l)+(a-c.a)*(a-c.a)+(b-c.b)*(b-c.b))"
 
 
+add_views({
+    "v_colours": "SELECT shot_id, round(lstar, 3) l, round(a_star, 3) a, round(b_star, 3) b, count(*) n FROM v_capped GROUP BY ALL",
+    "v_indexed": "SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY l, a, b) i, count(*) OVER (PARTITION BY shot_id) distinct_n FROM v_colours",
+    "v_seeds(shot_id, k, cs)": f"""SELECT shot_id, least(5, distinct_n), [{{'l': l, 'a': a, 'b': b}}] FROM (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, i) w FROM v_indexed) WHERE w=1
+      UNION ALL SELECT shot_id, k, list_append(cs, p) FROM (SELECT s.shot_id, s.k, s.cs, arg_max({{'l': l, 'a': a, 'b': b}}, list_min({_DS})) p FROM v_seeds s JOIN v_indexed o ON o.shot_id=s.shot_id
+      WHERE len(s.cs) < s.k GROUP BY 1, 2, 3)""",
+    "v_moves(shot_id, it, k, cs, moved)": f"""SELECT shot_id, 0, k, cs, true FROM v_seeds WHERE len(cs)=k UNION ALL
+      SELECT shot_id, it+1, k, ns, ns<>cs FROM (SELECT shot_id, it, k, cs, list_transform(range(1, k+1), lambda j: coalesce(list_filter(g, lambda x: x.j=j)[1].c, cs[j])) ns FROM (
+      SELECT shot_id, it, k, cs, list({{'j': j, 'c': {{'l': ml, 'a': ma, 'b': mb}}}}) g FROM (
+      SELECT shot_id, it, k, cs, j, sum(n*l)/sum(n) ml, sum(n*a)/sum(n) ma, sum(n*b)/sum(n) mb FROM (
+      SELECT m.shot_id, m.it, m.k, m.cs, o.n, o.l, o.a, o.b, list_position({_DS}, list_min({_DS})) j FROM v_moves m JOIN v_indexed o ON o.shot_id=m.shot_id WHERE m.moved AND m.it < 100) GROUP BY 1, 2, 3, 4, 5)
+      GROUP BY 1, 2, 3, 4))""",
+    "v_settled": "SELECT shot_id, arg_max(cs, it) cs FROM v_moves GROUP BY 1",
+    "v_found": f"""SELECT shot_id, any_value(cs[j].l) lstar, any_value(cs[j].a) a_star, any_value(cs[j].b) b_star, sum(n)::BIGINT n FROM (
+      SELECT f.shot_id, f.cs, o.n, list_position({_DS}, list_min({_DS})) j FROM v_settled f JOIN v_indexed o ON o.shot_id=f.shot_id) GROUP BY shot_id, j""",
+})
+
+
 @query("ag14_palette_centres", f"""
-WITH c AS (SELECT shot_id, round(lstar, 3) l, round(a_star, 3) a, round(b_star, 3) b, count(*) n FROM v_capped GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY l, a, b) i, count(*) OVER (PARTITION BY shot_id) distinct_n FROM c),
-s(shot_id, k, cs) AS (SELECT shot_id, least(5, distinct_n), [{{'l': l, 'a': a, 'b': b}}] FROM (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, i) w FROM o) WHERE w=1
- UNION ALL SELECT shot_id, k, list_append(cs, p) FROM (SELECT s.shot_id, s.k, s.cs, arg_max({{'l': l, 'a': a, 'b': b}}, list_min({_DS})) p FROM s JOIN o ON o.shot_id=s.shot_id WHERE len(s.cs) < s.k GROUP BY 1, 2, 3)),
-m(shot_id, it, k, cs, moved) AS (SELECT shot_id, 0, k, cs, true FROM s WHERE len(cs)=k UNION ALL
- SELECT shot_id, it+1, k, ns, ns<>cs FROM (SELECT shot_id, it, k, cs, list_transform(range(1, k+1), lambda j: coalesce(list_filter(g, lambda x: x.j=j)[1].c, cs[j])) ns FROM (
-  SELECT shot_id, it, k, cs, list({{'j': j, 'c': {{'l': ml, 'a': ma, 'b': mb}}}}) g FROM (
-   SELECT shot_id, it, k, cs, j, sum(n*l)/sum(n) ml, sum(n*a)/sum(n) ma, sum(n*b)/sum(n) mb FROM (
-    SELECT m.shot_id, m.it, m.k, m.cs, o.n, o.l, o.a, o.b, list_position({_DS}, list_min({_DS})) j FROM m JOIN o ON o.shot_id=m.shot_id WHERE m.moved AND m.it < 100) GROUP BY 1, 2, 3, 4, 5)
-  GROUP BY 1, 2, 3, 4))),
-f AS (SELECT shot_id, arg_max(cs, it) cs FROM m GROUP BY 1),
-z AS (SELECT f.shot_id, f.cs, o.n, list_position({_DS}, list_min({_DS})) j FROM f JOIN o ON o.shot_id=f.shot_id)
-SELECT shot_id, {q6('any_value(cs[j].l)+1e-9', 'lstar')}, {q6('any_value(cs[j].a)+1e-9', 'a_star')}, {q6('any_value(cs[j].b)+1e-9', 'b_star')}, sum(n)::BIGINT n FROM z GROUP BY shot_id, j""")
+SELECT shot_id, {q6('lstar+1e-9', 'lstar')}, {q6('a_star+1e-9', 'a_star')}, {q6('b_star+1e-9', 'b_star')}, n FROM v_found""")
 def ag14(v):
     # Means of three-place values often end in an exact half; both sides lean up by 1e-9.
     return C.palette_centres(_capped(v)).select("shot_id", *[r6(F.col(c) + dbl(1e-9)).alias(c) for c in ("lstar", "a_star", "b_star")], "n")
@@ -216,16 +222,51 @@ def _centres(v: Views):
         *[F.avg(c).alias(c) for c in ("lstar", "a_star", "b_star")], F.count(F.lit(1)).alias("n")).drop("part")
 
 
-@query("ag15_merge_centres", f"""
-WITH o AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, lstar, a_star, b_star) k FROM v_centres),
-f(shot_id, k, st) AS (SELECT shot_id, CAST(1 AS BIGINT), [{{'l': lstar, 'a': a_star, 'b': b_star, 'n': n}}] FROM o WHERE k=1
- UNION ALL SELECT shot_id, k, CASE WHEN p IS NULL OR p=0 THEN list_append(st, c) ELSE list_concat(st[:p-1], [{{'l': (st[p].l*st[p].n+c.l*c.n)/(st[p].n+c.n),
-  'a': (st[p].a*st[p].n+c.a*c.n)/(st[p].n+c.n), 'b': (st[p].b*st[p].n+c.b*c.n)/(st[p].n+c.n), 'n': st[p].n+c.n}}], st[p+1:]) END
- FROM (SELECT f.shot_id, o.k, st, {{'l': lstar, 'a': a_star, 'b': b_star, 'n': n}} c,
-  list_position(list_transform(st, lambda x: sqrt((x.l-lstar)*(x.l-lstar)+(x.a-a_star)*(x.a-a_star)+(x.b-b_star)*(x.b-b_star)) < 8), true) p
-  FROM f JOIN o ON o.shot_id=f.shot_id AND o.k=f.k+1)),
-u AS (SELECT shot_id, unnest(st) m FROM (SELECT shot_id, arg_max(st, k) st FROM f GROUP BY 1))
-SELECT shot_id, {q6('m.l', 'lstar')}, {q6('m.a', 'a_star')}, {q6('m.b', 'b_star')}, CAST(m.n AS BIGINT) n FROM u""")
+def _fold_sql(source: str, limit: float, name: str) -> dict[str, str]:
+    """Views that fold centres, heaviest first, into the first one nearer than ``limit``."""
+    near = f"list_transform(st, lambda x: sqrt((x.l-lstar)*(x.l-lstar)+(x.a-a_star)*(x.a-a_star)+(x.b-b_star)*(x.b-b_star)) < {limit})"
+    return {
+        f"{name}_in": f"SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, lstar, a_star, b_star) k FROM {source}",
+        f"{name}_fold(shot_id, k, st)": f"""SELECT shot_id, CAST(1 AS BIGINT), [{{'l': lstar, 'a': a_star, 'b': b_star, 'n': n}}] FROM {name}_in WHERE k=1
+          UNION ALL SELECT shot_id, k, CASE WHEN p IS NULL OR p=0 THEN list_append(st, c) ELSE list_concat(st[:p-1], [{{'l': (st[p].l*st[p].n+c.l*c.n)/(st[p].n+c.n),
+          'a': (st[p].a*st[p].n+c.a*c.n)/(st[p].n+c.n), 'b': (st[p].b*st[p].n+c.b*c.n)/(st[p].n+c.n), 'n': st[p].n+c.n}}], st[p+1:]) END
+          FROM (SELECT f.shot_id, o.k, st, {{'l': lstar, 'a': a_star, 'b': b_star, 'n': n}} c, list_position({near}, true) p
+          FROM {name}_fold f JOIN {name}_in o ON o.shot_id=f.shot_id AND o.k=f.k+1)""",
+        name: f"SELECT shot_id, m.l lstar, m.a a_star, m.b b_star, CAST(m.n AS BIGINT) n FROM (SELECT shot_id, unnest(st) m FROM (SELECT shot_id, arg_max(st, k) st FROM {name}_fold GROUP BY 1))",
+    }
+
+
+def _cube(f: str) -> str:
+    return f"CASE WHEN {f} > cbrt(0.008856::DOUBLE) THEN {f}*{f}*{f} ELSE ({f}-16.0::DOUBLE/116)/7.787::DOUBLE END"
+
+
+def _byte(c: str) -> str:
+    c = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {c}))"
+    return f"CAST(round_even(255*(CASE WHEN {c} <= 0.0031308 THEN {c}*12.92::DOUBLE ELSE 1.055::DOUBLE*pow({c}, 1.0::DOUBLE/2.4::DOUBLE)-0.055::DOUBLE END), 0) AS INT)"
+
+
+add_views({
+    **_fold_sql("v_centres", 8, "v_blended"),
+    **_fold_sql("v_found", 3, "v_palette"),
+    "v_fy": "SELECT *, CASE WHEN lstar > 903.3::DOUBLE*0.008856::DOUBLE THEN (lstar+16)/116 ELSE 7.787::DOUBLE*lstar/903.3::DOUBLE+16.0::DOUBLE/116 END fy FROM v_palette",
+    "v_xyz_back": f"""SELECT shot_id, lstar, n, ({_cube('(fy+a_star/500)')})*0.950456::DOUBLE x, CASE WHEN lstar > 903.3::DOUBLE*0.008856::DOUBLE THEN fy*fy*fy ELSE lstar/903.3::DOUBLE END y,
+      ({_cube('(fy-b_star/200)')})*1.088754::DOUBLE z FROM v_fy""",
+    "v_swatch_hex": f"""SELECT shot_id, n, printf('#%02X%02X%02X', {_byte('(3.240479::DOUBLE*x-1.537150::DOUBLE*y-0.498535::DOUBLE*z)')},
+      {_byte('(-0.969256::DOUBLE*x+1.875991::DOUBLE*y+0.041556::DOUBLE*z)')}, {_byte('(0.055648::DOUBLE*x-0.204043::DOUBLE*y+1.057311::DOUBLE*z)')}) hex FROM v_xyz_back""",
+    "v_hex_once": "SELECT shot_id, hex, sum(n)::BIGINT n FROM v_swatch_hex GROUP BY 1, 2",
+})
+
+
+def _rank_sql(source: str, share: str) -> str:
+    return f"""
+WITH t AS (SELECT *, sum(n) OVER (PARTITION BY shot_id) total, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, hex) k FROM {source}),
+kept AS (SELECT shot_id, hex, n FROM t WHERE n >= greatest(1, floor({share}::DOUBLE*total)) OR k=1),
+s AS (SELECT *, row_number() OVER o rk, count(*) OVER (PARTITION BY shot_id) nk, n/sum(n) OVER (PARTITION BY shot_id) p FROM kept
+ WINDOW o AS (PARTITION BY shot_id ORDER BY n DESC, hex))
+SELECT shot_id, hex, n, rk AS "rank", {q6('CASE WHEN rk=nk THEN 1-coalesce(sum(p) OVER (PARTITION BY shot_id ORDER BY n DESC, hex ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE p END', 'proportion')} FROM s"""
+
+
+@query("ag15_merge_centres", f"SELECT shot_id, {q6('lstar', 'lstar')}, {q6('a_star', 'a_star')}, {q6('b_star', 'b_star')}, n FROM v_blended")
 def ag15(v):
     out = C.merge_centres(_centres(v), "shot_id", 8.0)
     return out.select("shot_id", *[r6(F.col(c)).alias(c) for c in ("lstar", "a_star", "b_star")], "n")
@@ -247,18 +288,13 @@ def ag16(v):
     return out.select("shot_id", "hex", "n", r6(F.col("lstar")).alias("lstar"))
 
 
-@query("ag17_rank_swatches", f"""
-WITH t AS (SELECT *, sum(n) OVER (PARTITION BY shot_id) total, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, hex) k FROM v_hex),
-kept AS (SELECT shot_id, hex, n FROM t WHERE n >= greatest(1, floor(0.07::DOUBLE*total)) OR k=1),
-s AS (SELECT *, row_number() OVER o rk, count(*) OVER (PARTITION BY shot_id) nk, n/sum(n) OVER (PARTITION BY shot_id) p FROM kept
- WINDOW o AS (PARTITION BY shot_id ORDER BY n DESC, hex))
-SELECT shot_id, hex, n, rk AS "rank", {q6('CASE WHEN rk=nk THEN 1-coalesce(sum(p) OVER (PARTITION BY shot_id ORDER BY n DESC, hex ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE p END', 'proportion')} FROM s""")
+@query("ag17_rank_swatches", _rank_sql("v_hex", "0.07"))
 def ag17(v):
     sw = _hexes(v).groupBy("shot_id", "hex").agg(F.count(F.lit(1)).alias("n"))
     return C.rank_swatches(sw, "shot_id", 0.07).select("shot_id", "hex", "n", F.col("rank").cast("bigint").alias("rank"), r6(F.col("proportion")).alias("proportion"))
 
 
-@query("shot_palette")
+@query("shot_palette", _rank_sql("v_hex_once", "0.02"))
 def shot_palette(v):
     """Whole colour chain per shot: crop, cap, cluster, merge and rank."""
     _, sw = C.shot_colour(v.pixels(), SHOT, ORDER, _chunk())

@@ -236,6 +236,28 @@ def prj28(v):
                     *[r6(F.col(c)).alias(c) for c in ("thirds_proximity", "global_motion_magnitude", "residual_motion_magnitude")])
 
 
+@query("src04_read_reports", """
+SELECT c.clip_id, CASE WHEN c.clip_id%6=5 THEN NULL ELSE 'clip-' || c.clip_id END document_id, CASE WHEN c.clip_id%6=5 THEN 0 ELSE n END shot_count,
+ CASE c.clip_id%6 WHEN 5 THEN 'not_a_report' WHEN 4 THEN 'unknown_key' WHEN 3 THEN 'shot_count' ELSE CASE WHEN c.clip_id%4=0 THEN 'audio_without_stream' END END problem,
+ c.clip_id%6 IN (0, 1, 2) AND c.clip_id%4<>0 "valid" FROM v_clips c JOIN (SELECT clip_id, count(*) n FROM v_shots GROUP BY 1) s ON s.clip_id=c.clip_id""")
+def src04_reports(v):
+    """Report documents, some broken, read back with the fixed schema."""
+    c = F.col("clip_id")
+
+    def m(n, r=0):
+        return F.pmod(c, F.lit(n)) == r
+
+    video = F.struct(F.concat(F.lit("v"), c).alias("video_id"), F.lit(259_200).alias("duration_ms"), (~m(4)).alias("has_audio"))
+    summary = F.struct((F.col("shot_count") + F.when(m(6, 3), 1).otherwise(0)).alias("shot_count"))
+    levels = F.struct(*[F.lit("COMPLETE").alias(p) for p in R.PILLAR_KIND])
+    rows = nested(v)
+    heads = rows.select("clip_id", F.concat(F.lit("clip-"), c).alias("analysis_id"), F.lit("2024-01-01T00:00:00Z").alias("generated_at"),
+                        video.alias("video"), levels.alias("availability"), summary.alias("summary"))
+    docs = R.report_documents(rows, heads).withColumn("clip_id", F.substring_index("analysis_id", "-", -1).cast("bigint"))
+    doc = F.when(m(6, 4), F.concat(F.lit('{"host":1,'), F.substring(F.col("doc"), F.lit(2), F.length("doc")))).when(m(6, 5), F.substring(F.col("doc"), F.lit(1), F.length("doc") - 5)).otherwise(F.col("doc"))
+    return R.report_verdicts(docs.select("clip_id", doc.alias("doc"))).select("clip_id", "document_id", F.col("shot_count").cast("bigint").alias("shot_count"), "problem", "valid")
+
+
 @query("dq11_report", """
 SELECT clip_id, 'shot_count' rule_id FROM v_clips WHERE clip_id%4=0 UNION ALL SELECT clip_id, 'audio_without_stream' FROM v_clips WHERE clip_id%6=0
 UNION ALL SELECT clip_id, 'index_contiguous' FROM v_clips WHERE clip_id%5=0""")

@@ -2,13 +2,16 @@
 
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from filmgrain.operators import jobs as J, metrics as M, quality as Q
+from filmgrain import schemas
+from filmgrain.operators import jobs as J, metrics as M, quality as Q, report as R, sampling as P
 from filmgrain.operators.pillars import Pillars
+from filmgrain.session import work_folder
 from filmgrain.sources import tables as T
 from filmgrain.streaming import twins as ST
 
@@ -135,3 +138,56 @@ def test_sliding_levels(spark, table, in_three_files):
     for start, (rms, n) in got.items():
         part = [i % 5 for i in range(40) if start <= i * 250 < start + 1000]
         assert n == len(part) and rms == pytest.approx((sum(p * p for p in part) / len(part)) ** 0.5)
+
+
+# --- stored documents ---------------------------------------------------------------------------
+
+def report_doc(**changes):
+    doc = {"schema_version": "1.0", "analysis_id": "a", "video": {"has_audio": True}, "generated_at": "2024-01-01T00:00:00Z", "pipeline_version": "0.1.0",
+           "configuration_hash": "0" * 64, "availability": {"audio": "COMPLETE"}, "summary": {"shot_count": 2},
+           "shots": [{"shot": {"shot_id": f"s{i}", "index": i}} for i in range(2)], "timeline_artifact": None, "critique": None}
+    doc.update(changes)
+    return json.dumps(doc)
+
+
+@pytest.mark.parametrize("doc,problem", [
+    (report_doc(), None), (report_doc(path="/x"), "unknown_key"), (report_doc(schema_version="2.0"), "schema_version"),
+    (report_doc(summary={"shot_count": 3}), "shot_count"), (report_doc(shots=[]), "shot_count"),
+    (report_doc(shots=[{"shot": {"index": 0}}, {"shot": {"index": 2}}]), "index_contiguous"),
+    (report_doc(video={"has_audio": False}), "audio_without_stream"), ("[]", "not_a_report"), ("{", "not_a_report")])
+def test_report_verdicts(spark, table, doc, problem):
+    r = R.report_verdicts(table("doc string", [(doc,)])).first()
+    assert (r.problem, r.valid) == (problem, problem is None)
+
+
+def test_document_schemas_parse(spark):
+    for ddl in (schemas.REPORT, schemas.TIMELINE, schemas.SHOT_SET):
+        assert schemas.keys(ddl)[:2] == ["schema_version", "analysis_id"] and len(schemas.struct(ddl).fields) == len(schemas.keys(ddl))
+
+
+def test_shot_without_evidence_has_no_representative(spark, table):
+    shots = table("clip_id int, shot_id string", [(1, "a"), (1, "b")])
+    plan = table("clip_id int, shot_id string, ord int, sample_id string, purposes array<string>", [
+        (1, "a", 0, "x", ["EVIDENCE"]), (1, "a", 4, "y", ["MOTION", "EVIDENCE"]), (1, "a", 9, "z", ["MOTION"]), (1, "b", 1, "w", ["MOTION"])])
+    assert {r.shot_id: r.representative_sample_id for r in P.representatives(shots, plan).collect()} == {"a": "y", "b": None}
+
+
+def test_outcomes_use_the_newest_attempt(spark, table):
+    runs = table("analysis_id int, stage_name string, attempt int, state string", [
+        (1, "sampling", 1, "SUCCEEDED"), (1, "report", 1, "SUCCEEDED"), (1, "report", 2, "FAILED_TERMINAL"),
+        (2, "sampling", 1, "FAILED_RETRYABLE"), (2, "sampling", 2, "SUCCEEDED"), (2, "report", 1, "SUCCEEDED"),
+        (3, "sampling", 1, "SUCCEEDED"), (3, "report", 1, "SUCCEEDED"), (4, "sampling", 1, "SUCCEEDED"), (4, "report", 1, "SUCCEEDED")])
+    cols = "analysis_id int, chromatic string, spatial string, motion string, audio string, tension string, critic string, has_audio boolean, spatial_requested boolean"
+    full = ["COMPLETE"] * 5 + ["NOT_REQUESTED"]
+    avail = table(cols, [(1, *full, True, True), (2, *full, True, True), (3, "PARTIAL", *full[1:], True, True)])
+    assert {r.analysis_id: r.outcome for r in J.outcomes(runs, avail).collect()} == {1: "FAILED", 2: "SUCCEEDED", 3: "PARTIAL", 4: "FAILED"}
+    # Progress counts any finished attempt, so a later failure does not lower it.
+    assert {r.analysis_id: round(r.progress, 9) for r in J.progress(runs).collect()}[1] == 0.9
+
+
+def test_work_folder_is_the_one_the_session_names():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.checkpoint.dir": "/shared/scratch"}.get(name, default)
+
+    assert work_folder(SimpleNamespace(conf=Conf())) == "/shared/scratch"
