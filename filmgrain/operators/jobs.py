@@ -53,11 +53,14 @@ def next_stage(runs: DataFrame) -> DataFrame:
     return now.select("analysis_id", pick.alias("next_stage"))
 
 
+def _weights_done(done: Column) -> Column:
+    total = sum((F.max(F.when((F.col("stage_name") == s) & done, dbl(w)).otherwise(dbl(0))) for s, w in STAGES.items()), dbl(0))
+    return F.greatest(dbl(0), F.least(dbl(1), total)).alias("progress")
+
+
 def progress(runs: DataFrame) -> DataFrame:
     """Sum of the weights of stages with any finished attempt."""
-    total = sum((F.max(F.when((F.col("stage_name") == s) & F.col("state").isin(*DONE), dbl(w)).otherwise(dbl(0)))
-                 for s, w in STAGES.items()), dbl(0))
-    return runs.groupBy("analysis_id").agg(F.greatest(dbl(0), F.least(dbl(1), total)).alias("progress"))
+    return runs.groupBy("analysis_id").agg(_weights_done(F.col("state").isin(*DONE)))
 
 
 def optional_failed() -> Column:
@@ -99,9 +102,10 @@ def status_view(jobs: DataFrame, runs: DataFrame) -> DataFrame:
         F.max(F.when((F.col("stage_name") == s) & F.col("done"), F.lit(s))) for s in STAGES]))
     # Stage names come from a closed set, so these lists hold a few entries.
     active = F.array_sort(F.collect_list(F.when(F.col("since").isNotNull(), F.struct("since", "stage_name"))))
-    lists = per.groupBy("analysis_id").agg(done.alias("completed_stages"), active["stage_name"].alias("active_stages"))
+    lists = per.groupBy("analysis_id").agg(done.alias("completed_stages"), active["stage_name"].alias("active_stages"),
+        _weights_done(F.col("done")))
     over = is_terminal(F.col("state"))
-    df = jobs.withColumnRenamed("progress", "_stored").join(lists, "analysis_id", "left").join(progress(runs), "analysis_id", "left")
+    df = jobs.withColumnRenamed("progress", "_stored").join(lists, "analysis_id", "left")
     none = F.array().cast("array<string>")
     return df.select(
         "analysis_id", "state",
