@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import near_copies
+from filmgrain.llm import lines, near_copies, shards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,43 @@ def _by_document(df: DataFrame) -> DataFrame:
 @query
 def op3_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return _by_document(near_copies.link_near_copies(_critiques(spark, folder)))
+
+
+@query
+def op6_deal_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_document(shards.deal_shards(_critiques(spark, folder)))
+
+
+ORACLES["op7_common_lines"] = """
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    k AS (SELECT *, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM d),
+    common AS (SELECT key FROM (SELECT unnest(list_distinct(keys)) AS key FROM k) WHERE key <> '' GROUP BY key HAVING count(*) >= 10),
+    each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(keys) AS key, unnest(range(len(lines))) AS pos FROM k),
+    marked AS (SELECT e.*, c.key IS NOT NULL AS gone FROM each e LEFT JOIN common c USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY r, doc_id"""
+
+
+@query
+def op7_common_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_document(lines.drop_common_lines(_critiques(spark, folder))).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# Host, path and verdict of the rules that the contract names.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+ORACLES["op9_judge_urls"] = """
+    WITH p AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    q AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+    rules(h, f, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+    SELECT page_id, host, path, arg_max(h || f, length(h || f)) AS rule, coalesce(arg_max(v, length(h || f)), 'allow') AS verdict
+    FROM q LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY r, page_id, host, path"""
+
+
+@query
+def op9_judge_urls(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), rules)
