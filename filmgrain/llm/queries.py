@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import lines, near_copies, shards, urls
+from filmgrain.llm import lines, near_copies, nearest, shards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,19 @@ ORACLES["op9_judge_urls"] = """
 def op9_judge_urls(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), rules)
+
+
+ORACLES["op4_nearest_shots"] = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op4_nearest_shots(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("shot_id"), F.col("embedding").alias("features"))
+    found = nearest.nearest_shots(vectors, vectors.where("shot_id % 50 = 0"))
+    return found.withColumnRenamed("shot_id", "vec_id")
