@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import lines, near_copies, nearest, shards, urls
+from filmgrain.llm import leaks, lines, near_copies, nearest, pieces, shards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,17 @@ def op4_nearest_shots(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("shot_id"), F.col("embedding").alias("features"))
     found = nearest.nearest_shots(vectors, vectors.where("shot_id % 50 = 0"))
     return found.withColumnRenamed("shot_id", "vec_id")
+
+
+@query
+def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_document(leaks.find_leaks(_critiques(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")))
+
+
+@query
+def op5_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = pieces.load_pieces()
+    encoded = pieces.encode_texts(_critiques(spark, folder).select("critique_run_id", "text"), vocabulary)
+    decoded = pieces.decode_texts(encoded, vocabulary)
+    return _by_document(decoded).select("doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
