@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import leaks, lines, near_copies, nearest, pieces, shards, urls
+from filmgrain.llm import leaks, lines, near_copies, nearest, pieces, shards, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,16 @@ def op5_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     decoded = pieces.decode_texts(encoded, vocabulary)
     return _by_document(decoded).select("doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
                                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def _held_out(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string")) % 5 == 0
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    critiques = _critiques(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("critique_run_id"), "toxic")
+    model = toxicity.train_toxicity(critiques, labels.where(~_held_out("critique_run_id")))
+    scored = _by_document(toxicity.score_toxicity(critiques, model))
+    return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", "predicted", "n_terms")
