@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import leaks, lines, near_copies, nearest, pieces, shards, toxicity, urls
+from filmgrain.llm import leaks, licences, lines, near_copies, nearest, pieces, shards, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,9 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train_toxicity(critiques, labels.where(~_held_out("critique_run_id")))
     scored = _by_document(toxicity.score_toxicity(critiques, model))
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", "predicted", "n_terms")
+
+
+@query
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    critiques = _critiques(spark, folder)
+    return _by_document(licences.scan_licences(critiques, licences.train_licences(critiques)))
