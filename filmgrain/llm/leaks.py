@@ -92,7 +92,7 @@ class Searcher:
 
 
 def find_leaks(critiques: DataFrame, benchmark: DataFrame, percent: int = PERCENT, min_chars: int = MIN_CHARS,
-               block_chars: int = BLOCK_CHARS) -> DataFrame:
+               block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
     """critique_run_id, item_ids, least_distance, leaked: the benchmark passages in each text.
 
     ``critiques``: critique_run_id, text; ``benchmark``: item_id bigint, text; other columns are
@@ -108,37 +108,38 @@ def find_leaks(critiques: DataFrame, benchmark: DataFrame, percent: int = PERCEN
 
     Items that are null or have fewer than ``min_chars`` folded characters name no passage. Null or
     empty texts hold nothing. Repeated items of one id count once, repeated texts and null ids
-    each get a row. Every text is searched whole.
+    each get a row. Every text is searched whole. Columns named in ``carry`` pass through.
     """
     folded = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     total = folded.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-total // block_chars))
-    kind = critiques.schema["critique_run_id"].dataType.simpleString()
-    critiques = critiques.select("critique_run_id", "text")
+    critiques = critiques.select("critique_run_id", "text", *(c for c in carry if c != "text"))
+    names = critiques.columns
+    ddl = critiques.schema.toDDL()
 
     def one(part: int) -> list[tuple[int, str]]:
         rows = folded.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == part).collect()
         return [(r.item_id, p) for r in rows if len(p := plain(r.text)) >= min_chars]
 
     def searched(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        """The rows with what this block adds to ``found``."""
+        """The rows with what this block adds to ``_found``."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(items, percent)
             for batch in slices(batches, "text"):
                 out = []
-                for text, old in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
+                for text, old in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist()):
                     found = dict(old)
                     for item, least in searcher.find(plain(text)).items():
                         found[item] = min(least, found.get(item, least))
                     out.append(sorted(found.items()))
-                yield pa.RecordBatch.from_arrays([batch.column("critique_run_id"), batch.column("text"), pa.array(out, pa.map_(pa.int64(), pa.int32()))], ["critique_run_id", "text", "found"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.map_(pa.int64(), pa.int32()))], [*names, "_found"])
 
-        return rows.mapInArrow(run, f"critique_run_id {kind}, text string, found map<bigint,int>")
+        return rows.mapInArrow(run, f"{ddl}, _found map<bigint,int>")
 
-    rows = critiques.withColumn("found", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<int>")))
+    rows = critiques.withColumn("_found", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<int>")))
     for part in range(blocks):
         items = one(part)
         if items:
             rows = searched(rows, items)
-    found = F.map_keys("found")
-    return rows.select("critique_run_id", F.array_sort(found).alias("item_ids"), F.array_min(F.map_values("found")).alias("least_distance"), (F.size(found) > 0).alias("leaked"))
+    found = F.map_keys("_found")
+    return rows.select("critique_run_id", *carry, F.array_sort(found).alias("item_ids"), F.array_min(F.map_values("_found")).alias("least_distance"), (F.size(found) > 0).alias("leaked"))

@@ -102,7 +102,7 @@ def op5_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
                                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-def _held_out(column: str) -> Column:
+def held_out(column: str) -> Column:
     return F.crc32(F.col(column).cast("string")) % 5 == 0
 
 
@@ -110,9 +110,9 @@ def _held_out(column: str) -> Column:
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     critiques = _critiques(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("critique_run_id"), "toxic")
-    model = toxicity.train_toxicity(critiques, labels.where(~_held_out("critique_run_id")))
+    model = toxicity.train_toxicity(critiques, labels.where(~held_out("critique_run_id")))
     scored = _by_document(toxicity.score_toxicity(critiques, model))
-    return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", "predicted", "n_terms")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "n_terms")
 
 
 @query

@@ -280,7 +280,7 @@ def train_toxicity(critiques: DataFrame, labels: DataFrame, sample: int = SAMPLE
     return ToxicityModel(terms, tuple(weights.tolist()), bias)
 
 
-def score_toxicity(critiques: DataFrame, model: ToxicityModel) -> DataFrame:
+def score_toxicity(critiques: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """critique_run_id, score, predicted, n_terms: how likely each text is labelled toxic.
 
     ``critiques``: critique_run_id, text; other columns are ignored. Words are met with the
@@ -290,9 +290,11 @@ def score_toxicity(critiques: DataFrame, model: ToxicityModel) -> DataFrame:
     to 1. predicted is 1 from 0.5 on.
 
     Nothing is shuffled; the model travels with the task and is bounded by its ``max_terms``.
-    Null and empty texts have no hits and get the score of a text without any. Repeated rows and null ids each get a row.
+    Null and empty texts have no hits and get the score of a text without any. Repeated rows and null ids each get a row. Columns named in ``carry``
+    pass through.
     """
-    kind = critiques.schema["critique_run_id"].dataType.simpleString()
+    names = ["critique_run_id", *carry]
+    ddl = critiques.select(*names).schema.toDDL()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, weights = _Values(Lexicon(list(model.terms))), np.array(model.weights)
@@ -301,6 +303,7 @@ def score_toxicity(critiques: DataFrame, model: ToxicityModel) -> DataFrame:
             x = np.array([features(t or "", values) for t in texts])
             score = 1 / (1 + np.exp(-np.clip(x @ weights + model.bias, -30, 30)))
             hits = pa.array([0 if not v[4] else int(round(np.expm1(v[4]))) for v in x.tolist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("critique_run_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), hits], ["critique_run_id", "score", "predicted", "n_terms"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), hits], [*names, "score", "predicted", "n_terms"])
 
-    return critiques.select("critique_run_id", "text").mapInArrow(run, f"critique_run_id {kind}, score double, predicted int, n_terms int")
+    used = critiques.select(*dict.fromkeys([*names, "text"]))
+    return used.mapInArrow(run, f"{ddl}, score double, predicted int, n_terms int")
