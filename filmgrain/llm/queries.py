@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import leaks, licences, lines, near_copies, nearest, pieces, shards, toxicity, urls
+from filmgrain.llm import leaks, licences, lines, near_copies, nearest, pieces, shards, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,9 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
     critiques = _critiques(spark, folder)
     return _by_document(licences.scan_licences(critiques, licences.train_licences(critiques)))
+
+
+@query
+def op2_repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    cut = _by_document(substrings.remove_repeats(_critiques(spark, folder)))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
