@@ -185,8 +185,8 @@ def scan_licences(critiques: DataFrame, model: LicenceModel, confirm: float = CO
     blank. The classifier gives each a probability for every family and for no licence. A family with
     the highest probability, at or above the model's bound, is confirmed when the
     paragraph holds ``confirm`` of the word pairs of one of the family's templates; of several
-    confirmed templates the one with most pairs decides, so a short notice inside a longer one of another
-    family can't win. A paragraph that looks like a licence but isn't confirmed counts as unknown.
+    such templates the one that is held most fully decides, then the longest, so a short notice inside
+    a longer one of another family can't win. A paragraph that looks like a licence but isn't confirmed counts as unknown.
     ``licences`` is sorted and distinct; ``score`` is the highest probability of any licence in the text (0 without paragraphs).
 
     Nothing is shuffled; the model's size is fixed by its feature table. Null, empty and blank
@@ -205,8 +205,8 @@ def scan_licences(critiques: DataFrame, model: LicenceModel, confirm: float = CO
                 families, unknown = set(), 0
                 for i in np.flatnonzero(licensed[at:at + len(lines)]):
                     pairs, best = word_pairs(lines[i]), int(chances[at + i, 1:].argmax()) + 1
-                    held = [(len(p), family) for family, p in known if len(p & pairs) >= confirm * len(p)]
-                    if held and max(held)[1] == model.classes[best] and chances[at + i, best] >= model.bound:
+                    held = [(len(p & pairs) / len(p), len(p), family) for family, p in known if len(p & pairs) >= confirm * len(p)]
+                    if held and max(held)[2] == model.classes[best] and chances[at + i, best] >= model.bound:
                         families.add(model.classes[best])
                     else:
                         unknown += 1

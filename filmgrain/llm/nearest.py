@@ -16,7 +16,8 @@ PIVOTS = 32
 SAMPLE = 4096
 BLOCK = 2048
 QUERY_BLOCK = 512
-SLACK = 1e-6
+# Of the largest length: what rounding may put on a distance, with room to spare.
+SLACK = 4e-6
 
 
 def whole_features(features: Column, scale: int = 256) -> Column:
@@ -131,7 +132,7 @@ def nearest_shots(shots: DataFrame, queries: DataFrame, top: int = TOP, pivots:
     """query_id, rank, shot_id, score: the ``top`` shots by integer inner product of features.
 
     ``shots``: shot_id bigint, features array of numbers; other columns are ignored. ``queries``:
-    shot_id of the shots to search for. Components become floor(256 * x). All other rows are
+    shot_id of the shots to search for. Components become floor(256 * x); sums of products must fit a long. All other rows are
     candidates (rows that share the query's id are the query itself); ties go to the smaller
     shot_id. Only vectors of equal length are compared.
 
@@ -148,8 +149,8 @@ def nearest_shots(shots: DataFrame, queries: DataFrame, top: int = TOP, pivots:
     candidate. Fewer than ``top`` candidates give fewer rows. Repeated rows give one candidate an id
     and vector. Empty tables give no rows.
     """
-    shots = shots.select("shot_id", whole_features(F.col("features")).alias("whole")).where("shot_id is not null and whole is not null")
-    shots = shots.withColumns({"dims": F.size("whole"), "length": F.aggregate("whole", F.lit(0.0), lambda a, x: a + x * x)})
+    shots = shots.select("shot_id", whole_features(F.col("features")).alias("whole")).where("shot_id is not null and whole is not null").dropDuplicates()
+    shots = shots.withColumns({"dims": F.size("whole"), "length": F.aggregate("whole", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))})
     heads = {r.dims: r.most for r in shots.groupBy("dims").agg(F.max("length").alias("most")).collect()}
     by_dims: dict[int, list] = {}
     for r in shots.select("dims", "whole").orderBy(F.xxhash64("shot_id"), "shot_id").limit(sample).collect():
@@ -195,7 +196,8 @@ def nearest_shots(shots: DataFrame, queries: DataFrame, top: int = TOP, pivots:
                 # The query lies in the plane of the plain components, so |q - x|^2 = |q|^2 + M - 2 q.x.
                 flat = np.hstack([whole.astype(np.float64), np.zeros((len(whole), 1))])
                 bounds = np.array([np.nan if b is None else b for b in row["bounds"]], np.float64)
-                reach = np.sqrt(np.maximum((flat ** 2).sum(1) + heads[d] - 2 * bounds, 0)) * (1 + SLACK) + SLACK
+                most = (flat ** 2).sum(1) + heads[d]
+                reach = np.sqrt(np.maximum(most - 2 * bounds, 0)) + SLACK * np.sqrt(most)
                 reach[np.isnan(bounds)] = np.inf
                 away = _distances(flat, points[d])
                 n = len(points[d])

@@ -23,7 +23,7 @@ def deal_shards(critiques: DataFrame, shards: int = SHARDS, seed: str = SEED, bu
     ranked in a seeded shuffle (by a digest of seed and id), all rows are sorted by the
     fractional rank ``(2 * rank - 1) / (2 * rows of the model)``, and the order is cut into
     ``shards`` runs whose row counts differ by one at most (law ``rows``). Every run so holds
-    every model in proportion, within one row each.
+    every model in proportion, give or take one row and its share of the number of models.
 
     Ranks are exact at any size without a task holding a whole model: rows are ranked inside
     buckets of the digest, then inside buckets of the fractional rank, and small bucket

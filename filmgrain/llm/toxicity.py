@@ -20,6 +20,7 @@ STEM_CHARS = (3, 4, 5, 6)
 WHOLE_CHARS = (5, 24)
 MIN_SHARE = 0.004
 MIN_CLEAR = 2.5
+MIN_EVIDENCE = 18.0
 WINDOW = 16
 MEMO_SIZE = 300_000
 FEATURES = 8
@@ -207,7 +208,7 @@ def _sampled(critiques: DataFrame, labels: DataFrame, size: int) -> DataFrame:
 
 def _learned_terms(sample: DataFrame, max_terms: int) -> tuple[Term, ...]:
     """Stems and words that mark toxic texts: found in at least ``MIN_SHARE`` of them (three at
-    least) and far more often than in others. A word or longer stem whose own stem is as clear is left out
+    least), far more often than in others and beyond chance. A word or longer stem whose own stem is as clear is left out
     unless it is long enough to be met misspelled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -227,7 +228,11 @@ def _learned_terms(sample: DataFrame, max_terms: int) -> tuple[Term, ...]:
         return ()
     clear = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     counts = sample.mapInArrow(run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    strong = counts.where(F.col("bad") >= max(3, MIN_SHARE * bad)).withColumn("clear", clear).where(F.col("clear") >= MIN_CLEAR)
+    # Twice the log-likelihood ratio against chance: few sightings are no evidence however one-sided.
+    share, seen = bad / (bad + good), F.col("bad") + F.col("good")
+    gain = lambda n, p: F.when(n > 0, n * F.log(n / (seen * p))).otherwise(0.0)
+    evidence = 2 * (gain(F.col("bad"), share) + gain(F.col("good"), 1 - share))
+    strong = counts.where(F.col("bad") >= max(3, MIN_SHARE * bad)).where(evidence >= MIN_EVIDENCE).withColumn("clear", clear).where(F.col("clear") >= MIN_CLEAR)
     rows = strong.orderBy(F.desc(F.col("clear") * F.sqrt("bad")), "term").limit(max_terms).collect()
     found = {r.term: r.clear for r in rows}
     kept = []
