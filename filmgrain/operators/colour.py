@@ -10,6 +10,7 @@ from filmgrain.config import Chromatic, LightingKey
 from filmgrain.functions.colour import hex_code, lab, lab_to_rgb, near_black
 from filmgrain.functions.numeric import clip, dbl
 from filmgrain.operators.ordered import with_row_number
+from filmgrain.operators.quantiles import Pick, grouped_quantiles
 
 
 def with_lab(pixels: DataFrame) -> DataFrame:
@@ -79,19 +80,29 @@ def spread_pixels(pixels: DataFrame, key: str, order: list[str], chunk: Column,
     return df.where(keep).drop("_pos", "_n")
 
 
-def lightness(pixels: DataFrame, key: str = "shot_id", cfg: Chromatic = Chromatic()) -> DataFrame:
-    """Lightness distribution of capped pixels (at most ``max_pixels_per_shot`` a shot,
-    which bounds the exact percentile buffer)."""
-    v = clip(F.col("lstar"), 0, 100)
-    p = F.percentile(v, F.array(dbl(0.1), dbl(0.5), dbl(0.9)))
-    return pixels.groupBy(key).agg(
-        F.avg(v).alias("mean_lstar"), F.stddev_pop(v).alias("stddev_lstar"), p.alias("_p"),
-        F.avg((v < cfg.shadow_lstar).cast("int")).alias("shadow_ratio"),
-        F.avg((v > cfg.highlight_lstar).cast("int")).alias("highlight_ratio"),
-    ).select(
-        key, "mean_lstar", "stddev_lstar", F.col("_p")[0].alias("p10_lstar"), F.col("_p")[1].alias("p50_lstar"),
-        F.col("_p")[2].alias("p90_lstar"), "shadow_ratio", "highlight_ratio",
-    )
+def colour_counts(pixels: DataFrame, key: str = "shot_id") -> DataFrame:
+    """Different colours of each shot with their pixels ``n`` and Lab values: every pixel counts, and
+    what follows sees at most the 2^24 colours that 8-bit pixels can have."""
+    return with_lab(pixels.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n")))
+
+
+def lightness(colours: DataFrame, key: str = "shot_id", cfg: Chromatic = Chromatic()) -> DataFrame:
+    """Lightness distribution over all pixels behind the counted ``colours`` of each shot."""
+    v, n = clip(F.col("lstar"), 0, 100), F.col("n")
+    picks = [Pick("p10_lstar", q=0.1), Pick("p50_lstar"), Pick("p90_lstar", q=0.9)]
+    tones = colours.withColumn("_tone", v)
+    marks = grouped_quantiles(tones, [key], "_tone", picks, "n").drop("n")
+    tone = F.col("_tone")
+    sums = tones.groupBy(key).agg(
+        F.sum("n").alias("_n"), F.sum(tone * n).alias("_s"), F.sum(tone * tone * n).alias("_q"),
+        F.sum(F.when(tone < cfg.shadow_lstar, n).otherwise(0)).alias("_dark"), F.sum(F.when(tone > cfg.highlight_lstar, n).otherwise(0)).alias("_bright"))
+    mean = F.col("_s") / F.col("_n")
+    spread = F.col("_q") / F.col("_n") - mean * mean
+    # Equal tones leave a rest of rounding; one odd pixel in a billion would leave more.
+    spread = F.when(spread > dbl(1e-10), F.sqrt(spread)).otherwise(dbl(0))
+    return sums.join(marks, key).select(
+        key, mean.alias("mean_lstar"), spread.alias("stddev_lstar"), "p10_lstar", "p50_lstar", "p90_lstar",
+        (F.col("_dark") / F.col("_n")).alias("shadow_ratio"), (F.col("_bright") / F.col("_n")).alias("highlight_ratio"))
 
 
 def lighting_key(rules: LightingKey = LightingKey()) -> Column:
@@ -136,36 +147,37 @@ def colour_status(cfg: Chromatic = Chromatic()) -> dict[str, Column]:
 
 # --- palette -----------------------------------------------------------------
 
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each point, in blocks so memory stays small."""
+    return np.concatenate([((points[i:i + 65_536, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(points), 65_536)])
+
+
 def _cluster(points: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Weighted k-means with a farthest-point start: heaviest colour first, then the colour
-    farthest from those chosen. Stops when the assignment stands still."""
+    farthest from those chosen. Runs until the assignment stands still; the spread falls with every
+    round, so that comes about."""
     chosen = [int(np.argmax(weight))]
     gap = ((points - points[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
         chosen.append(int(np.argmax(gap)))
         gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
     centres, label = points[chosen].astype(float), None
-    for _ in range(100):
-        nearest = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    while True:
+        nearest = _nearest(points, centres)
         if label is not None and (nearest == label).all():
-            break
+            return centres, np.bincount(label, weight, k)
         label = nearest
         mass = np.bincount(label, weight, k)
         for d in range(3):
             total = np.bincount(label, weight * points[:, d], k)
             centres[:, d] = np.where(mass > 0, total / np.maximum(mass, 1), centres[:, d])
-    return centres, np.bincount(label, weight, k)
-
 
-def palette_centres(pixels: DataFrame, key: str = "shot_id", clusters: int = 5) -> DataFrame:
-    """At most ``clusters`` colour centres of each shot with the pixels behind each.
 
-    Input is the capped pixel sample, so one shot's colour table has a known bound. Equal
-    colours are counted by Spark first; only the distinct ones reach Python.
-    """
-    key_type = pixels.schema[key].dataType.simpleString()
-    colours = pixels.groupBy(key, *[F.round(c, 3).alias(c) for c in ("lstar", "a_star", "b_star")]).agg(
-        F.count(F.lit(1)).alias("n"))
+def palette_centres(colours: DataFrame, key: str = "shot_id", clusters: int = 5) -> DataFrame:
+    """At most ``clusters`` colour centres of each shot with the pixels behind each, from its
+    counted colours (``colour_counts``), whose number 8-bit pixels bound."""
+    key_type = colours.schema[key].dataType.simpleString()
+    colours = colours.groupBy(key, *[F.round(c, 3).alias(c) for c in ("lstar", "a_star", "b_star")]).agg(F.sum("n").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lstar", "a_star", "b_star"])
@@ -181,7 +193,7 @@ def palette_centres(pixels: DataFrame, key: str = "shot_id", clusters: int = 5)
 
 def merge_centres(centres: DataFrame, key: str = "shot_id", delta_e: float = 3.0) -> DataFrame:
     """Fold each shot's few centres, heaviest first, into the first one closer than
-    ``delta_e``, as a count-weighted mean."""
+    ``delta_e``, as a count-weighted mean. ``ord`` keeps their order."""
     item = F.struct((-F.col("n")).alias("neg"), "lstar", "a_star", "b_star", "n")
     kind = "array<struct<lstar:double,a_star:double,b_star:double,n:bigint>>"
 
@@ -205,7 +217,7 @@ def merge_centres(centres: DataFrame, key: str = "shot_id", delta_e: float = 3.0
 
     listed = centres.where("n > 0").groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_c"))
     folded = F.aggregate("_c", F.array().cast(kind), lambda kept, c: step(kept, c).cast(kind))
-    return listed.select(key, F.explode(folded).alias("_m")).select(key, "_m.*")
+    return listed.select(key, F.posexplode(folded).alias("ord", "_m")).select(key, "ord", "_m.*")
 
 
 def with_swatch_colour(centres: DataFrame) -> DataFrame:
@@ -216,11 +228,21 @@ def with_swatch_colour(centres: DataFrame) -> DataFrame:
     })
 
 
-def merge_equal_hex(swatches: DataFrame, key: str = "shot_id") -> DataFrame:
-    """One swatch per shot and hex: counts added, the heavier (then earlier) centre kept."""
-    first = F.struct("n", (-F.col("lstar")).alias("x"), (-F.col("a_star")).alias("y"), (-F.col("b_star")).alias("z"))
-    kept = F.max_by(F.struct("lstar", "a_star", "b_star"), first)
-    return swatches.groupBy(key, "hex").agg(kept.alias("_k"), F.sum("n").alias("n")).select(key, "hex", "_k.*", "n")
+def merge_equal_hex(swatches: DataFrame, key: str = "shot_id", order: str = "ord") -> DataFrame:
+    """One swatch per shot and hex, counts added. Of swatches in ``order``, a later one gives its
+    centre when it is heavier than all before it together. A shot has few swatches, so a list holds them."""
+    item = F.struct(order, "n", "lstar", "a_star", "b_star")
+    listed = swatches.groupBy(key, "hex").agg(F.array_sort(F.collect_list(item)).alias("_c"))
+    kind = "struct<n:bigint,lstar:double,a_star:double,b_star:double>"
+
+    def fold(held: Column, c: Column) -> Column:
+        stays = held["n"] >= c["n"]
+        centre = [F.when(stays, held[x]).otherwise(c[x]).alias(x) for x in ("lstar", "a_star", "b_star")]
+        return F.struct((F.greatest(held["n"], F.lit(0).cast("bigint")) + c["n"]).alias("n"), *centre).cast(kind)
+
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(-1).cast("bigint").alias("n"), none.alias("lstar"), none.alias("a_star"), none.alias("b_star")).cast(kind)
+    return listed.select(key, "hex", F.aggregate("_c", start, fold).alias("_m")).select(key, "hex", "_m.lstar", "_m.a_star", "_m.b_star", "_m.n")
 
 
 def rank_swatches(swatches: DataFrame, key: str = "shot_id", min_share: float = 0.02) -> DataFrame:
@@ -237,27 +259,29 @@ def rank_swatches(swatches: DataFrame, key: str = "shot_id", min_share: float =
     return kept.withColumn("proportion", F.when(F.col("rank") == F.col("_of"), last).otherwise(F.col("_share"))).drop("_min", "_of", "_share")
 
 
-def palette(pixels: DataFrame, key: str = "shot_id", cfg: Chromatic = Chromatic()) -> DataFrame:
-    """Ranked palette rows of every shot from its capped pixels."""
-    centres = merge_centres(palette_centres(pixels, key, cfg.clusters), key, cfg.delta_e_merge)
+def palette(colours: DataFrame, key: str = "shot_id", cfg: Chromatic = Chromatic()) -> DataFrame:
+    """Ranked palette rows of every shot from its counted colours."""
+    centres = merge_centres(palette_centres(colours, key, cfg.clusters), key, cfg.delta_e_merge)
     return rank_swatches(merge_equal_hex(with_swatch_colour(centres), key), key, cfg.min_swatch_proportion)
 
 
-def shot_colour(pixels: DataFrame, frame: list[str], order: list[str], chunk: Column,
-                cfg: Chromatic = Chromatic(), key: str = "shot_id") -> tuple[DataFrame, DataFrame]:
-    """Colour values per shot and the palette rows, from raw pixels with r, g, b."""
+def shot_colour(pixels: DataFrame, frame: list[str], shots: DataFrame, cfg: Chromatic = Chromatic(), key: str = "shot_id") -> tuple[DataFrame, DataFrame]:
+    """Colour values of every shot and the palette rows of the shots that have values.
+
+    ``pixels``: key, frame columns, row_i, col_i, r, g, b. ``shots``: key and requested_frames, one row a
+    shot. A shot without pixels keeps its row with a status; values and swatches are given only under
+    status OK. All pixels inside the picture count.
+    """
     bounds = picture_bounds(pixels, frame, cfg)
-    counts = usable_pixels(bounds, key).withColumn("requested_frames", F.col("decoded_frames"))
-    # Only pixels that survive the cap are converted.
-    sample = with_lab(spread_pixels(crop(pixels, bounds, frame), key, order, chunk, cfg.max_pixels_per_shot))
-    swatches = palette(sample, key, cfg)
-    light = lightness(sample, key, cfg)
+    counts = shots.select(key, "requested_frames").join(usable_pixels(bounds, key), key, "left").fillna(
+        {"kept_pixels": 0, "total_pixels": 0, "decoded_frames": 0})
+    colours = colour_counts(crop(pixels, bounds, frame), key)
+    swatches = palette(colours, key, cfg)
+    light = lightness(colours, key, cfg)
     held = swatches.groupBy(key).agg(F.count(F.lit(1)).alias("swatches"))
-    label = lighting_key(cfg.lighting_key_rules)
-    values = (
-        counts.join(light, key, "left").join(held, key, "left").fillna({"swatches": 0})
-        .withColumns(colour_status(cfg))
-        .withColumn("lighting_key", F.when(F.col("status") == "OK", label))
-    )
-    sure = lighting_confidence(F.col("lighting_key"), cfg.lighting_key_rules)
-    return values.withColumn("confidence", F.when(F.col("status") == "OK", sure)), swatches
+    values = counts.join(light, key, "left").join(held, key, "left").fillna({"swatches": 0}).withColumns(colour_status(cfg))
+    fine = F.col("status") == "OK"
+    values = values.withColumn("lighting_key", F.when(fine, lighting_key(cfg.lighting_key_rules)))
+    values = values.withColumn("confidence", F.when(fine, lighting_confidence(F.col("lighting_key"), cfg.lighting_key_rules)))
+    values = values.withColumns({c: F.when(fine, F.col(c)) for c in light.columns if c != key})
+    return values, swatches.join(values.where(fine).select(key), key, "left_semi")

@@ -7,6 +7,8 @@ many raw rows it came from, and windows over a clip are safe.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -171,12 +173,15 @@ def assign_shots(points: DataFrame, shots: DataFrame, at: str = "at_ms", bin_ms:
 
 def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy one-to-one matching of one small island of positions."""
-    free = pdf.loc[~pdf["is_expected"], ["position_ms", "ord"]].sort_values(["ord", "position_ms"])
-    free = list(free["position_ms"])
+    free = pdf.loc[~pdf["is_expected"], ["ord", "position_ms"]].sort_values(["ord", "position_ms"])
+    earlier = {p: i for i, p in reversed(list(enumerate(free["position_ms"])))}
+    free = sorted(free["position_ms"])
     tolerance = int(pdf["tolerance_ms"].iloc[0])
     hits = 0
     for target in pdf.loc[pdf["is_expected"]].sort_values(["ord", "position_ms"])["position_ms"]:
-        near = min(range(len(free)), key=lambda i: abs(free[i] - target), default=None)
+        # Only the neighbours on either side can be nearest; of two as near the earlier listed one is.
+        at = bisect_left(free, target)
+        near = min((i for i in (at - 1, at) if 0 <= i < len(free)), key=lambda i: (abs(free[i] - target), earlier[free[i]]), default=None)
         if near is not None and abs(free[near] - target) <= tolerance:
             free.pop(near)
             hits += 1

@@ -17,7 +17,6 @@ from filmgrain.operators.shots import assign_shots
 AUDIO_MISSING = "audio_unavailable_weights_renormalized"
 MOTION_MISSING = "motion_unavailable_weights_renormalized"
 NO_AUDIO = "no_audio_stream"
-MAX_POINTS = 2_000
 
 
 def hop_starts(clips: DataFrame, hop_ms: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -235,7 +234,7 @@ def time_range(points: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
 
 def thin(points: DataFrame, start_ms: int, end_ms: int, max_points: int) -> DataFrame:
     """At most ``max_points`` evenly spread points per clip, first and last included."""
-    cap = min(max(1, max_points), MAX_POINTS)
+    cap = max(1, max_points)
     df = time_range(points, start_ms, end_ms)
     w = clip_window().orderBy("at_ms")
     df = df.withColumns({"_i": F.row_number().over(w) - 1, "_last": F.count(F.lit(1)).over(clip_window()) - 1})

@@ -21,14 +21,14 @@ def _mod(c: str, n: int):
     return F.pmod(F.col(c), F.lit(n))
 
 
-_CLOSED = ", ".join(f"'{x}'" for x in M.LABEL_VALUES["stage"].split())
+_CLOSED = ", ".join(f"'{x}'" for x in M.LABEL_VALUES["stage"])
 add_views({
     "v_latest": "SELECT analysis_id, stage_name, max(attempt) attempt, arg_max(state, attempt) state FROM v_stage_runs GROUP BY 1, 2",
     "v_live": """SELECT analysis_id, stage_name, ord, CASE WHEN state='PENDING' AND ord%2=0 THEN 'RUNNING' ELSE state END state FROM v_stage_runs""",
     "v_avail": """SELECT c_custkey analysis_id, CASE c_custkey%4 WHEN 0 THEN 'PARTIAL' ELSE 'COMPLETE' END chromatic,
       CASE c_custkey%5 WHEN 0 THEN 'UNAVAILABLE' ELSE 'COMPLETE' END spatial, CASE c_custkey%7 WHEN 0 THEN 'PARTIAL' ELSE 'COMPLETE' END motion,
       CASE c_custkey%3 WHEN 0 THEN 'UNAVAILABLE' ELSE 'COMPLETE' END audio, 'COMPLETE' tension, 'NOT_REQUESTED' critic, c_custkey%2=0 has_audio,
-      c_custkey%6=0 spatial_requested FROM customer WHERE c_acctbal >= 0""",
+      c_custkey%6=0 spatial_requested, c_acctbal >= 0 reported FROM customer""",
     "v_metric": """SELECT event_id, CASE event_id%6 WHEN 0 THEN 'stage_duration_ms' WHEN 1 THEN 'cache_hits_total' WHEN 2 THEN 'bogus' WHEN 3 THEN 'queue_wait_ms'
       WHEN 4 THEN 'stage_runs_total' ELSE 'stage_duration_ms' END name, CASE event_type WHEN 'view' THEN 'report' WHEN 'click' THEN 'sampling' ELSE event_type END st,
       CAST(floor(value) AS BIGINT)-20 val FROM events""",
@@ -67,8 +67,8 @@ def ag20(v):
 
 def _availability(v: Views):
     k = "c_custkey"
-    return v.table("customer").where(F.col("c_acctbal") >= 0).select(
-        F.col(k).alias("analysis_id"), F.when(_mod(k, 4) == 0, "PARTIAL").otherwise("COMPLETE").alias("chromatic"),
+    return v.table("customer").select(
+        F.col(k).alias("analysis_id"), (F.col("c_acctbal") >= 0).alias("reported"), F.when(_mod(k, 4) == 0, "PARTIAL").otherwise("COMPLETE").alias("chromatic"),
         F.when(_mod(k, 5) == 0, "UNAVAILABLE").otherwise("COMPLETE").alias("spatial"), F.when(_mod(k, 7) == 0, "PARTIAL").otherwise("COMPLETE").alias("motion"),
         F.when(_mod(k, 3) == 0, "UNAVAILABLE").otherwise("COMPLETE").alias("audio"), F.lit("COMPLETE").alias("tension"), F.lit("NOT_REQUESTED").alias("critic"),
         (_mod(k, 2) == 0).alias("has_audio"), (_mod(k, 6) == 0).alias("spatial_requested"))
@@ -78,9 +78,9 @@ def _availability(v: Views):
 WITH r AS (SELECT analysis_id, count(*) FILTER (stage_name IN ('sampling','report') AND state='SUCCEEDED') n FROM v_latest GROUP BY 1)
 SELECT r.analysis_id, CASE WHEN n < 2 OR a.analysis_id IS NULL THEN 'FAILED' WHEN chromatic IN ('UNAVAILABLE','PARTIAL') OR (spatial_requested AND spatial<>'COMPLETE')
  OR motion IN ('UNAVAILABLE','PARTIAL') OR (has_audio AND audio<>'COMPLETE') OR tension='UNAVAILABLE' THEN 'PARTIAL' ELSE 'SUCCEEDED' END outcome
-FROM r LEFT JOIN v_avail a ON a.analysis_id=r.analysis_id""")
+FROM r LEFT JOIN v_avail a ON a.analysis_id=r.analysis_id AND a.reported""")
 def ag21(v):
-    return J.outcomes(_runs(v), _availability(v))
+    return J.outcomes(_runs(v), _availability(v).where("reported").drop("reported"))
 
 
 def _live(v: Views):
@@ -226,9 +226,9 @@ def ag25(v):
 WITH r AS (SELECT o_custkey report_id, CAST(o_orderkey//2 AS VARCHAR) clip, o_orderkey//2 clip_ord, o_orderkey%2 pass_no, CASE WHEN o_orderkey%37=0 THEN 'fail' ELSE 'pass' END g,
  CASE WHEN o_orderkey%41=0 THEN -1 ELSE 5 END rtf, CASE WHEN o_custkey%10=0 THEN 'x' ELSE 'h' END hash FROM orders),
 c AS (SELECT DISTINCT report_id, clip FROM r WHERE pass_no=0),
-b AS (SELECT report_id, arg_min(CASE WHEN g<>'pass' THEN 'clip ' || clip || ' golden_status is ' || g ELSE 'clip ' || clip || ' has a negative RTF' END, clip_ord*2+pass_no) p
+b AS (SELECT report_id, arg_min(CASE WHEN g<>'pass' THEN 'golden_not_passed:' || clip ELSE 'negative_factor:' || clip END, clip_ord*2+pass_no) p
  FROM r JOIN c USING (report_id, clip) WHERE g<>'pass' OR rtf < 0 GROUP BY 1)
-SELECT r.report_id, CASE WHEN max(hash)<>'h' THEN 'configuration hash does not match the default AnalysisConfig' WHEN NOT bool_or(pass_no=0) THEN 'no clip completed; generate fixtures with make fixtures'
+SELECT r.report_id, CASE WHEN max(hash)<>'h' THEN 'other_configuration' WHEN NOT bool_or(pass_no=0) THEN 'nothing_ran'
  ELSE coalesce(any_value(p), 'ok') END reason, CASE WHEN max(hash)<>'h' OR NOT bool_or(pass_no=0) OR any_value(p) IS NOT NULL THEN false ELSE true END "valid"
 FROM r LEFT JOIN b ON b.report_id=r.report_id GROUP BY 1""")
 def ag25_verdicts(v):

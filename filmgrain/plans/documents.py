@@ -259,22 +259,19 @@ def prj31(v):
     return X.screen_commands(v.table("events").select("event_id", doc.alias("doc"))).select("event_id", "verdict")
 
 
-def _stem_sql(c: str) -> str:
-    parts = []
-    for s in X.FORBIDDEN_STEMS:
-        lit = s.replace("'", "''")
-        parts.append(f"WHEN contains(lower({c}), '{lit}') THEN 'forbidden phrase {lit}'")
-    return " ".join(parts)
+_STEMS = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in X.FORBIDDEN_STEMS) + "]"
 
 
 @query("prj32_audit_critique", rf"""
 WITH t AS (SELECT conv_id, turn, text || ' ' || (conv_id%40) || ' shots, ' || (conv_id%7+0.5) || 's, #AA00' || CASE WHEN conv_id%5=0 THEN 'BB' ELSE 'cc' END
-  || CASE WHEN conv_id%6=0 THEN ' emotion' ELSE '' END txt, conv_id%40+CASE WHEN conv_id%3=0 THEN 1 ELSE 0 END sc FROM conversations WHERE role='assistant'),
+  || CASE WHEN conv_id%6=0 THEN ' emotion' ELSE '' END txt, conv_id%40+CASE WHEN conv_id%3=0 THEN 1 ELSE 0 END sc FROM conversations),
 a AS (SELECT *, [sc::DOUBLE, 3.5, 2.25, 0.25, 1.0, 0.5, 1.0, 0.61, 4.5] base FROM t),
 b AS (SELECT *, base || list_transform(base, lambda x: round_even(x*100, 0)) || list_transform(base, lambda x: round_even(x*100, 1)) allowed,
-  regexp_extract_all(regexp_replace(txt, '#[0-9A-Fa-f]{{6}}', ' ', 'g'), '\d+(?:\.\d+)?') nums FROM a)
-SELECT conv_id, turn, CASE {_stem_sql('txt')} WHEN list_bool_or(list_transform(regexp_extract_all(txt, '#[0-9A-Fa-f]{{6}}'), lambda h: upper(h) <> '#AA00CC')) THEN 'hex colour is not in the critic input'
- WHEN len(list_filter(nums, lambda n: len(list_filter(allowed, lambda x: abs(x-n::DOUBLE) <= 0.011)) = 0)) > 0 THEN 'number is not in the critic input' ELSE 'ok' END verdict FROM b""")
+  regexp_extract_all(regexp_replace(txt, '#[0-9A-Fa-f]{{6}}', ' ', 'g'), '\d+(?:\.\d+)?') nums FROM a),
+c AS (SELECT conv_id, turn, list_filter({_STEMS}, lambda s: contains(lower(txt), s))[1] stem, list_filter(regexp_extract_all(txt, '#[0-9A-Fa-f]{{6}}'), lambda h: upper(h) <> '#AA00CC')[1] colour,
+  list_filter(nums, lambda n: len(list_filter(allowed, lambda x: abs(x-n::DOUBLE) <= 0.011)) = 0)[1] num FROM b)
+SELECT conv_id, turn, CASE WHEN stem IS NOT NULL THEN 'forbidden_stem' WHEN colour IS NOT NULL THEN 'unknown_colour' WHEN num IS NOT NULL THEN 'unknown_number' ELSE 'ok' END verdict,
+ coalesce(stem, colour, num) token FROM c""")
 def prj32(v):
     k = F.col("conv_id")
 
@@ -288,8 +285,8 @@ def prj32(v):
     facts = {"shot_count": m(40) + F.when(m(3) == 0, 1).otherwise(0), "asl_seconds": dbl(3.5), "median_seconds": dbl(2.25),
              "low_key_ratio": dbl(0.25), "chromatic_valid_ratio": dbl(1), "spatial_valid_ratio": dbl(0.5), "median_thirds": dbl(0.61)}
     allowed = X.allowed_numbers(facts, palette, F.array(dbl(4.5)))
-    c = v.table("conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", X.audit_text(text, allowed, palette).alias("verdict"))
+    verdict, token = X.audit_text(text, allowed, palette)
+    return v.table("conversations").select("conv_id", "turn", verdict.alias("verdict"), token.alias("token"))
 
 
 @query("prj33_critique_key", """

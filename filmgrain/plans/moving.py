@@ -100,7 +100,7 @@ def jn06(v):
 @query("jn09_sampling_manifest", f"""
 SELECT clip_id, ord, sample_id, CASE WHEN ok AND ord%5<>0 THEN hit_ms END decoded_ms,
  CASE WHEN ok AND ord%5<>0 THEN 'DECODED' ELSE 'UNAVAILABLE' END status,
- CASE WHEN ord%5=0 THEN 'sample could not be decoded' WHEN hit_ms IS NULL THEN '{_MISS}' WHEN NOT ok THEN '{_OUT}' END unavailable_reason
+ CASE WHEN ord%5=0 THEN '{P.NOT_DECODED}' WHEN hit_ms IS NULL THEN '{_MISS}' WHEN NOT ok THEN '{_OUT}' END unavailable_reason
 FROM v_manifest""")
 def jn09(v):
     # Every fifth request comes back without an outcome, as after a lost extract.

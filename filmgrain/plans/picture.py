@@ -46,13 +46,13 @@ add_views({
       FROM v_lab p LEFT JOIN v_picture b ON b.shot_id=p.shot_id GROUP BY 1""",
     "v_ranked_px": """SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY frame_ord, row_i, col_i, k1, k2, r, g, b)-1 pos,
       count(*) OVER (PARTITION BY shot_id) n FROM v_cropped""",
-    **{k: q for name, cap in (("v_thin", CAP), ("v_capped", 50_000)) for k, q in {
+    **{k: q for name, cap in (("v_thin", CAP),) for k, q in {
         f"{name}_steps": f"SELECT shot_id, n, floor(unnest(range(0, {cap}))*(n/{cap}.0::DOUBLE)) pos FROM (SELECT DISTINCT shot_id, n FROM v_ranked_px WHERE n > {cap})",
         name: f"SELECT p.* FROM v_ranked_px p WHERE n <= {cap} OR EXISTS (SELECT 1 FROM {name}_steps s WHERE s.shot_id=p.shot_id AND s.pos=p.pos)",
     }.items()},
     "v_light": """SELECT shot_id, avg(l) mean_lstar, stddev_pop(l) stddev_lstar, quantile_cont(l, 0.1) p10_lstar, quantile_cont(l, 0.5) p50_lstar,
       quantile_cont(l, 0.9) p90_lstar, avg(CASE WHEN l < 20 THEN 1 ELSE 0 END) shadow_ratio, avg(CASE WHEN l > 80 THEN 1 ELSE 0 END) highlight_ratio
-      FROM (SELECT shot_id, greatest(0, least(100, lstar)) l FROM v_capped) GROUP BY 1""",
+      FROM (SELECT shot_id, greatest(0, least(100, lstar)) l FROM v_cropped) GROUP BY 1""",
     "v_tones": """SELECT shot_id*10+frame_ord shot_id, quantile_cont(l*f, 0.1) p10_lstar, quantile_cont(l*f, 0.5) p50_lstar, quantile_cont(l*f, 0.9) p90_lstar,
       avg(CASE WHEN l*f < 20 THEN 1 ELSE 0 END) shadow_ratio FROM (SELECT shot_id, frame_ord, greatest(0, least(100, lstar)) l,
       CASE frame_ord%3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 1.5::DOUBLE END f FROM v_lab) GROUP BY 1""",
@@ -132,12 +132,15 @@ def wn08(v):
 
 @query("wn09_spread_pixels", "SELECT shot_id, frame_ord, row_i, col_i, k1, k2 FROM v_thin")
 def wn09(v):
-    return _capped(v, CAP).select("shot_id", "frame_ord", "row_i", "col_i", "k1", "k2")
+    px = v.pixels()
+    kept = C.crop(px, C.picture_bounds(px, SHOT), SHOT)
+    return C.spread_pixels(kept, "shot_id", ORDER, _chunk(), CAP).select("shot_id", "frame_ord", "row_i", "col_i", "k1", "k2")
 
 
-def _capped(v: Views, cap: int = Chromatic().max_pixels_per_shot):
+def kept_colours(v: Views):
+    """Counted colours of all pixels inside the picture of each shot."""
     px = v.pixels()
-    return C.with_lab(C.spread_pixels(C.crop(px, C.picture_bounds(px, SHOT), SHOT), "shot_id", ORDER, _chunk(), cap))
+    return C.colour_counts(C.crop(px, C.picture_bounds(px, SHOT), SHOT))
 
 
 _L = ("mean_lstar", "stddev_lstar", "p10_lstar", "p50_lstar", "p90_lstar", "shadow_ratio", "highlight_ratio")
@@ -145,7 +148,7 @@ _L = ("mean_lstar", "stddev_lstar", "p10_lstar", "p50_lstar", "p90_lstar", "shad
 
 @query("ag02_lightness", f"SELECT shot_id, {', '.join(q6(c, c) for c in _L)} FROM v_light")
 def ag02(v):
-    return C.lightness(_capped(v)).select("shot_id", *[r6(F.col(c)).alias(c) for c in _L])
+    return C.lightness(kept_colours(v)).select("shot_id", *[r6(F.col(c)).alias(c) for c in _L])
 
 
 @query("ag03_colour_status", f"""
@@ -191,7 +194,7 @@ _DS = "list_transform(cs, lambda c: (l-c.l)*(l-c.l)+(a-c.a)*(a-c.a)+(b-c.b)*(b-c
 
 
 add_views({
-    "v_colours": "SELECT shot_id, round(lstar, 3) l, round(a_star, 3) a, round(b_star, 3) b, count(*) n FROM v_capped GROUP BY ALL",
+    "v_colours": "SELECT shot_id, round(lstar, 3) l, round(a_star, 3) a, round(b_star, 3) b, count(*) n FROM v_cropped GROUP BY ALL",
     "v_indexed": "SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY l, a, b) i, count(*) OVER (PARTITION BY shot_id) distinct_n FROM v_colours",
     "v_seeds(shot_id, k, cs)": f"""SELECT shot_id, least(5, distinct_n), [{{'l': l, 'a': a, 'b': b}}] FROM (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, i) w FROM v_indexed) WHERE w=1
       UNION ALL SELECT shot_id, k, list_append(cs, p) FROM (SELECT s.shot_id, s.k, s.cs, arg_max({{'l': l, 'a': a, 'b': b}}, list_min({_DS})) p FROM v_seeds s JOIN v_indexed o ON o.shot_id=s.shot_id
@@ -200,7 +203,7 @@ add_views({
       SELECT shot_id, it+1, k, ns, ns<>cs FROM (SELECT shot_id, it, k, cs, list_transform(range(1, k+1), lambda j: coalesce(list_filter(g, lambda x: x.j=j)[1].c, cs[j])) ns FROM (
       SELECT shot_id, it, k, cs, list({{'j': j, 'c': {{'l': ml, 'a': ma, 'b': mb}}}}) g FROM (
       SELECT shot_id, it, k, cs, j, sum(n*l)/sum(n) ml, sum(n*a)/sum(n) ma, sum(n*b)/sum(n) mb FROM (
-      SELECT m.shot_id, m.it, m.k, m.cs, o.n, o.l, o.a, o.b, list_position({_DS}, list_min({_DS})) j FROM v_moves m JOIN v_indexed o ON o.shot_id=m.shot_id WHERE m.moved AND m.it < 100) GROUP BY 1, 2, 3, 4, 5)
+      SELECT m.shot_id, m.it, m.k, m.cs, o.n, o.l, o.a, o.b, list_position({_DS}, list_min({_DS})) j FROM v_moves m JOIN v_indexed o ON o.shot_id=m.shot_id WHERE m.moved) GROUP BY 1, 2, 3, 4, 5)
       GROUP BY 1, 2, 3, 4))""",
     "v_settled": "SELECT shot_id, arg_max(cs, it) cs FROM v_moves GROUP BY 1",
     "v_found": f"""SELECT shot_id, any_value(cs[j].l) lstar, any_value(cs[j].a) a_star, any_value(cs[j].b) b_star, sum(n)::BIGINT n FROM (
@@ -212,7 +215,7 @@ add_views({
 SELECT shot_id, {q6('lstar+1e-9', 'lstar')}, {q6('a_star+1e-9', 'a_star')}, {q6('b_star+1e-9', 'b_star')}, n FROM v_found""")
 def ag14(v):
     # Means of three-place values often end in an exact half; both sides lean up by 1e-9.
-    return C.palette_centres(_capped(v)).select("shot_id", *[r6(F.col(c) + dbl(1e-9)).alias(c) for c in ("lstar", "a_star", "b_star")], "n")
+    return C.palette_centres(kept_colours(v)).select("shot_id", *[r6(F.col(c) + dbl(1e-9)).alias(c) for c in ("lstar", "a_star", "b_star")], "n")
 
 
 def _centres(v: Views):
@@ -280,11 +283,12 @@ def _hexes(v: Views):
 
 
 @query("ag16_merge_equal_hex", f"""
-SELECT shot_id, h hex, sum(n)::BIGINT n, {q6('arg_max(l, n*1000-l)', 'lstar')} FROM (SELECT shot_id, frame_ord, '#' || printf('%02X%02X%02X', r//96*96, g//96*96, b//128*128) h,
- count(*) n, round(min(lstar), 6) l FROM v_lab GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+SELECT shot_id, hex, m.n n, {q6('m.l', 'lstar')} FROM (SELECT shot_id, h hex, list_reduce(list({{'n': n, 'l': l}} ORDER BY frame_ord),
+ lambda x, y: {{'n': x.n+y.n, 'l': CASE WHEN x.n >= y.n THEN x.l ELSE y.l END}}) m FROM (SELECT shot_id, frame_ord, '#' || printf('%02X%02X%02X', r//96*96, g//96*96, b//128*128) h,
+ count(*)::BIGINT n, round(min(lstar), 6) l FROM v_lab GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
 def ag16(v):
     drafts = _hexes(v).groupBy("shot_id", "frame_ord", "hex").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("lstar"), 6).alias("lstar"))
-    out = C.merge_equal_hex(drafts.withColumns({"a_star": dbl(0), "b_star": dbl(0)}))
+    out = C.merge_equal_hex(drafts.withColumns({"a_star": dbl(0), "b_star": dbl(0)}), order="frame_ord")
     return out.select("shot_id", "hex", "n", r6(F.col("lstar")).alias("lstar"))
 
 
@@ -294,10 +298,33 @@ def ag17(v):
     return C.rank_swatches(sw, "shot_id", 0.07).select("shot_id", "hex", "n", F.col("rank").cast("bigint").alias("rank"), r6(F.col("proportion")).alias("proportion"))
 
 
-@query("shot_palette", _rank_sql("v_hex_once", "0.02"))
+# Shots of the colour queries: one a part, so some have no pixels; every eleventh asked for none.
+add_views({
+    "v_colour_shots": """SELECT *, coalesce(kept/nullif(total, 0), 0) u, CASE WHEN p_partkey%11=0 THEN 'chromatic_no_decoded_samples' WHEN total IS NULL THEN 'chromatic_decode_failed'
+      WHEN coalesce(kept/nullif(total, 0), 0) < 0.834 THEN 'chromatic_letterbox_insufficient' WHEN kept=0 THEN 'chromatic_no_usable_pixels' END why
+      FROM (SELECT p_partkey FROM part) LEFT JOIN v_usable ON shot_id=p_partkey""",
+    "v_hex_good": "SELECT h.* FROM v_hex_once h JOIN v_colour_shots s ON s.p_partkey=h.shot_id WHERE why IS NULL",
+})
+
+
+def _colour(v: Views):
+    k = F.col("p_partkey")
+    shots = v.table("part").select(k.alias("shot_id"), F.when(F.pmod(k, F.lit(11)) == 0, 0).otherwise(3).alias("requested_frames"))
+    return C.shot_colour(v.pixels(), SHOT, shots, Chromatic(min_usable_pixel_ratio=0.834))
+
+
+@query("shot_colour_values", f"""
+SELECT s.p_partkey shot_id, {q6('u', 'usable_pixel_ratio')}, CASE WHEN why IS NULL THEN 'OK' WHEN why='chromatic_decode_failed' THEN 'FAILED' ELSE 'INSUFFICIENT_DATA' END status, why reason_code,
+ {', '.join(q6(f'CASE WHEN why IS NULL THEN {c} END', c) for c in _L)} FROM v_colour_shots s LEFT JOIN v_light l ON l.shot_id=s.p_partkey""")
+def shot_colour_values(v):
+    values, _ = _colour(v)
+    return values.select("shot_id", r6(F.col("usable_pixel_ratio")).alias("usable_pixel_ratio"), "status", "reason_code", *[r6(F.col(c)).alias(c) for c in _L])
+
+
+@query("shot_palette", _rank_sql("v_hex_good", "0.02"))
 def shot_palette(v):
-    """Whole colour chain per shot: crop, cap, cluster, merge and rank."""
-    _, sw = C.shot_colour(v.pixels(), SHOT, ORDER, _chunk())
+    """Whole colour chain per shot: crop, count, cluster, merge and rank."""
+    _, sw = _colour(v)
     return sw.select("shot_id", F.col("rank").cast("bigint").alias("rank"), "hex", "n", r6(F.col("proportion")).alias("proportion"))
 
 

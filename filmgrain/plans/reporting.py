@@ -9,7 +9,7 @@ from filmgrain.functions.numeric import dbl, r6
 from filmgrain.operators import quality as Q, report as R, timeline as T
 from filmgrain.operators.shots import with_shot_ids
 from filmgrain.plans.activity import _simple
-from filmgrain.plans.picture import _capped
+from filmgrain.plans.picture import kept_colours
 from filmgrain.operators.colour import lightness
 from filmgrain.plans.registry import query
 from filmgrain.plans.sqltext import add_views, exact_round as er, r6 as q6, uuid_sql
@@ -200,7 +200,7 @@ def prj23(v):
 
 @query("prj25_lightness_markers", f"SELECT shot_id, {q6('p10_lstar', 'p10')}, {q6('p50_lstar', 'p50')}, {q6('p90_lstar', 'p90')}, {q6('mean_lstar', 'mean')} FROM v_light WHERE shot_id%3<>0")
 def prj25(v):
-    rows = lightness(_capped(v)).withColumn("status", F.when(F.pmod("shot_id", F.lit(3)) != 0, "OK").otherwise("FAILED"))
+    rows = lightness(kept_colours(v)).withColumn("status", F.when(F.pmod("shot_id", F.lit(3)) != 0, "OK").otherwise("FAILED"))
     return R.lightness_markers(rows).select("shot_id", *[r6(F.col(c)).alias(c) for c in ("p10", "p50", "p90", "mean")])
 
 
@@ -219,7 +219,7 @@ SELECT s.clip_id, s.n points, {q6('s.total', 'total')}, s.at_list, coalesce(b.st
  FROM v_simple GROUP BY 1) s LEFT JOIN (SELECT clip_id, array_to_string(list(start_ms ORDER BY start_ms), ',') starts FROM v_shots WHERE shot_index > 0 GROUP BY 1) b ON b.clip_id=s.clip_id""")
 def prj27(v):
     zero = dbl(0)
-    points = T.thin(_simple(v), 0, 259_200, 2000).withColumns({c: zero for c in ("cut_activity", "audio_activity", "motion_activity")})
+    points = T.time_range(_simple(v), 0, 259_200).withColumns({c: zero for c in ("cut_activity", "audio_activity", "motion_activity")})
     s = R.tension_series(points, v.shots())
     text = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(n) for c, n in (("at_ms", "at_list"), ("shot_boundary_ms", "boundaries"))]
     return s.select("clip_id", F.size("at_ms").cast("bigint").alias("points"), r6(F.aggregate("combined_proxy", dbl(0), lambda a, x: a + x)).alias("total"), *text)

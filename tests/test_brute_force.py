@@ -230,7 +230,7 @@ def test_pixel_spread_matches_index_rule(spark, table):
 
 def test_palette_rows_keep_the_contract(spark, table):
     rows = [(s, RNG.random() * 100, RNG.uniform(-60, 60), RNG.uniform(-60, 60)) for s in (1, 2) for _ in range(300)]
-    out = C.palette(table("shot_id int, lstar double, a_star double, b_star double", rows))
+    out = C.palette(table("shot_id int, lstar double, a_star double, b_star double", rows).withColumn("n", F.lit(1).cast("bigint")))
     by = {}
     for r in out.orderBy("shot_id", "rank").collect():
         by.setdefault(r.shot_id, []).append(r)
@@ -243,5 +243,5 @@ def test_palette_rows_keep_the_contract(spark, table):
 def test_cluster_finds_separate_groups(spark, table):
     spots = [(20.0, 0.0, 0.0), (60.0, 40.0, 0.0), (80.0, 0.0, -50.0)]
     rows = [(1, *(c + RNG.uniform(-0.5, 0.5) for c in spots[i % 3])) for i in range(300)]
-    got = sorted((round(r.lstar / 20) * 20, r.n) for r in C.palette_centres(table("shot_id int, lstar double, a_star double, b_star double", rows), clusters=3).collect())
+    got = sorted((round(r.lstar / 20) * 20, r.n) for r in C.palette_centres(table("shot_id int, lstar double, a_star double, b_star double", rows).withColumn("n", F.lit(1).cast("bigint")), clusters=3).collect())
     assert got == [(20, 100), (60, 100), (80, 100)]
