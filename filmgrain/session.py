@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_OWN: list[str] = []
+
 
 def local_session(cpus: int | None = None, name: str = "filmgrain") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -22,10 +26,33 @@ def local_session(cpus: int | None = None, name: str = "filmgrain") -> SparkSess
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, where driver and executors are one process, may go without: it
+    gets one temporary folder, removed when the process ends. On a cluster a missing setting is
+    an error, as executors don't see each other's disks. What a job leaves in the named folder is its
+    owner's to remove, like Spark's own checkpoints.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="filmgrain-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="filmgrain-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so workers started elsewhere can import it."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="filmgrain-ship-")
+    made = shutil.make_archive(os.path.join(folder, "filmgrain"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(made)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -90,21 +90,51 @@ def move_audit(log: DataFrame) -> DataFrame:
         outputMode="Update", timeMode="None")
 
 
-def run_to_end(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return its result as a table.
+def with_closing(rows: DataFrame, after: str = "9000-01-01") -> tuple[DataFrame, Callable[[], None]]:
+    """``rows`` (a stream with a time column ``ts``) and an act that ends it.
 
-    Complete mode keeps the result of the last micro-batch, the other modes add up. Each
-    micro-batch has its own folder, so a batch that is run again after a lost executor
+    An append-mode result comes out when the watermark passes it, which the end of the data alone doesn't
+    do. The act adds one row far in the future, whose own window never closes, so everything before it comes out and its state is released.
+    """
+    spark = rows.sparkSession
+    folder = f"{work_folder(spark)}/closing-{uuid.uuid4().hex}"
+    spark.createDataFrame([], rows.schema).write.parquet(folder)
+    last = spark.readStream.schema(rows.schema).parquet(folder)
+
+    def close() -> None:
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "ts"]
+        end = F.lit(after).cast(rows.schema["ts"].dataType).alias("ts")
+        spark.range(1).select(end, *empty).select(rows.columns).coalesce(1).write.mode("append").parquet(folder)
+
+    return rows.union(last), close
+
+
+def run_to_end(df: DataFrame, mode: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over what is there now and return its result as a table. With ``close`` (see
+    ``with_closing``) the stream is ended and run on from where it stood.
+
+    Each micro-batch has its own folder, so a batch that is run again after a lost executor
     replaces its output instead of repeating it.
     """
     spark = df.sparkSession
     root = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = f"{root}/out"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
-
-    run = df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    def run() -> None:
+        writer = df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{root}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        run()
+        if close:
+            close()
+            run()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(out).select(*df.columns)

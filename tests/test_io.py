@@ -2,6 +2,9 @@
 
 import json
 import os
+import shutil
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -112,7 +115,10 @@ def test_hourly_rollup_equals_batch(spark, table, in_three_files):
     e = table("s bigint, series string, kind string, value bigint", [(i * 700, f"s{i % 3}", ("counter", "histogram")[i % 2], i % 11 - 3) for i in range(90)])
     e = e.withColumn("ts", F.timestamp_seconds("s")).drop("s")
     path = in_three_files(e, "ts")
-    got = ST.run_to_end(ST.hourly_rollup(ST.stream_table(spark, path, 1)), "complete")
+    rows, close = ST.with_closing(ST.stream_table(spark, path, 1))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = ST.run_to_end(ST.hourly_rollup(rows), "append", close)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     want = e.groupBy(F.window("ts", "1 hour").start.alias("hour"), "series").agg(*M.rollup_aggregates())
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
@@ -133,7 +139,8 @@ def test_first_copies_across_batches(spark, table, in_three_files):
 
 def test_sliding_levels(spark, table, in_three_files):
     rows = table("n int, x double", [(i, float(i % 5)) for i in range(40)]).select(F.timestamp_millis(F.col("n") * 250).alias("ts"), F.lit(1).alias("clip_id"), "x", "n")
-    out = ST.run_to_end(ST.sliding_levels(ST.stream_table(spark, in_three_files(rows, "n"), 1), "1 second", "500 milliseconds"), "complete")
+    stream, close = ST.with_closing(ST.stream_table(spark, in_three_files(rows, "n"), 1))
+    out = ST.run_to_end(ST.sliding_levels(stream, "1 second", "500 milliseconds"), "append", close)
     got = {int(r.start.timestamp() * 1000): (r.rms, r.samples) for r in out.collect()}
     for start, (rms, n) in got.items():
         part = [i % 5 for i in range(40) if start <= i * 250 < start + 1000]
@@ -191,3 +198,31 @@ def test_work_folder_is_the_one_the_session_names():
             return {"spark.checkpoint.dir": "/shared/scratch"}.get(name, default)
 
     assert work_folder(SimpleNamespace(conf=Conf())) == "/shared/scratch"
+
+
+def test_work_folder_is_an_error_on_a_cluster_that_names_none():
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    with pytest.raises(ValueError):
+        work_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://somewhere:7077")))
+    local = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))
+    assert work_folder(local) == work_folder(local)
+
+
+def test_corpus_folder_may_be_missing(tmp_path):
+    """Without the corpus operators the other queries still register."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("filmgrain", "tools"):
+        shutil.copytree(f"{root}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q), set(e.oracle_sql()) <= set(q))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
+    assert int(said[0]) > 140 and said[1:] == ["False", "True"]
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = ("import sys; sys.path.insert(0, sys.argv[1])\nfrom filmgrain.session import local_session\nfrom filmgrain.operators import colour\ns = local_session(1)\n"
+            "df = s.createDataFrame([(1, 10.0, 0.0, 0.0, 5)], 'shot_id int, lstar double, a_star double, b_star double, n bigint')\nprint('rows', colour.palette_centres(df).count())")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "rows 1" in said.stdout, said.stderr[-1500:]
