@@ -284,4 +284,6 @@ def shot_colour(pixels: DataFrame, frame: list[str], shots: DataFrame, cfg: Chro
     values = values.withColumn("lighting_key", F.when(fine, lighting_key(cfg.lighting_key_rules)))
     values = values.withColumn("confidence", F.when(fine, lighting_confidence(F.col("lighting_key"), cfg.lighting_key_rules)))
     values = values.withColumns({c: F.when(fine, F.col(c)) for c in light.columns if c != key})
-    return values, swatches.join(values.where(fine).select(key), key, "left_semi")
+    # A shot with swatches needs only its counts to be judged, so the palette isn't worked out twice.
+    judged = counts.withColumn("swatches", F.lit(1)).withColumns(colour_status(cfg)).where(fine)
+    return values, swatches.join(judged.select(key), key, "left_semi")
