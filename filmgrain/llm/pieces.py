@@ -18,7 +18,7 @@ SPACE = "▁"
 # Fixed value: an unknown character scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
 MEMO_CHARS = 64
-MEMO_SIZE = 400_000
+MEMO_SIZE = 100_000
 
 
 def load_pieces(path: str = MODEL) -> tuple[dict[str, tuple[int, float]], list[int]]:
@@ -52,8 +52,25 @@ class Encoder:
         cut = not any(SPACE in p.lstrip(SPACE) for p in known)
         lone = not any("\n" in p for p in known)
         self.cutter = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if cut and lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cut else "(?s).+")
+        self.singles = {p for p in known if len(p) == 1}
         self.memo: dict[str, array] = {}
 
+    def _segments(self, text: str) -> array:
+        """``_best`` for a text whose characters all are pieces, where no unknown one has to be weighed."""
+        n = len(text)
+        score, back, ids = [0.0] + [-1e300] * n, [0] * (n + 1), [0] * (n + 1)
+        for end, (length, i, gain) in self.automaton.iter(text):
+            end += 1
+            total = score[end - length] + gain
+            if total > score[end]:
+                score[end], back[end], ids[end] = total, end - length, i
+        out = []
+        while n:
+            out.append(ids[n])
+            n = back[n]
+        out.reverse()
+        return array("i", out)
+
     def _best(self, text: str) -> array:
         """One pass: each match the automaton reports at a position relaxes that position."""
         n = len(text)
@@ -94,7 +111,7 @@ class Encoder:
             for piece in self.cutter.findall((SPACE if not k else "") + part.replace(" ", SPACE)):
                 ids = self.memo.get(piece)
                 if ids is None:
-                    ids = self._best(piece)
+                    ids = self._segments(piece) if self.singles.issuperset(piece) else self._best(piece)
                     if len(piece) <= MEMO_CHARS:
                         if len(self.memo) >= MEMO_SIZE:
                             self.memo.clear()
@@ -103,6 +120,18 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(known: dict[str, tuple[int, float]], raw: list[int]) -> Encoder:
+    """One encoder a worker, so its remembered words serve all tasks that run there."""
+    mark = hash((tuple(known.items()), tuple(raw)))
+    if mark not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[mark] = Encoder(known, raw)
+    return _ENCODERS[mark]
+
+
 def encode_texts(critiques: DataFrame, vocabulary: tuple[dict[str, tuple[int, float]], list[int]]) -> DataFrame:
     """``critiques`` with piece_ids array<int> added (one of that name is replaced).
 
@@ -123,7 +152,7 @@ def encode_texts(critiques: DataFrame, vocabulary: tuple[dict[str, tuple[int, fl
     known, raw = vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(known, raw)
+        encoder = _encoder(known, raw)
         for batch in slices(batches, "text"):
             ids = [np.frombuffer(encoder.encode(t or ""), np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in wide), list_column(ids, pa.int32())], [*wide, "piece_ids"])
