@@ -232,13 +232,14 @@ def repeated_spans(critiques: DataFrame, min_bytes: int = MIN_BYTES, anchor_byte
     cover which also start anywhere else. Texts without any are left out."""
     critiques = critiques.select("text").where(F.octet_length("text") >= min_bytes)
     runs = stored(_runs(critiques, min_bytes, anchor_bytes))
-    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Stored before the join, so a hot key's runs come from an exchange that the skew join may split.
+    shared = stored(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     runs = stored(runs.join(shared, "key"))
     counts = stored(runs.groupBy("key", "piece").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("digest", "low", "high")).alias("from")))
     keys = counts.groupBy("key").agg(F.count(F.lit(1)).alias("variants"), F.min("times").alias("least"))
 
     # A piece that occurs twice is repeated as a whole; where a key has pieces that occur once, its different pieces are indexed.
-    open_keys = keys.where("variants > 1 and least = 1").select("key", (F.col("variants") > max_variants).alias("many"))
+    open_keys = stored(keys.where("variants > 1 and least = 1").select("key", (F.col("variants") > max_variants).alias("many")))
     wanted = counts.join(open_keys, "key").select("key", "piece", "many", "from.*")
     lists = wanted.groupBy("digest").agg(F.collect_list(F.struct("key", "piece", "many", "low", "high")).alias("pieces"))
     texts = _with_digest(critiques, ["text"]).groupBy("digest").agg(F.first("text").alias("text"))
