@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filmgrain.config import Tension, TensionWeights
+from filmgrain.config import AnalysisConfig, DEFAULT_CONFIG, SCHEMA_VERSION, Tension, TensionWeights
 from filmgrain.functions.numeric import clip01, dbl, int_div
 from filmgrain.operators.ordered import clip_window, fan_out
 from filmgrain.operators.shots import assign_shots
+from filmgrain.schemas import TIMELINE, keys
 
 AUDIO_MISSING = "audio_unavailable_weights_renormalized"
 MOTION_MISSING = "motion_unavailable_weights_renormalized"
 NO_AUDIO = "no_audio_stream"
+# Fixed value: the method's name in stored timelines.
+METHOD_VERSION = "tension-v1"
 
 
 def hop_starts(clips: DataFrame, hop_ms: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -99,12 +102,15 @@ def motion_at(points: DataFrame, pairs: DataFrame, hop_ms: int) -> DataFrame:
 
 
 def audio_at(points: DataFrame, windows: DataFrame) -> DataFrame:
-    """Audio features aligned to hop starts with linear level; zeros where no window is."""
-    w = windows.select("clip_id", F.col("start_ms").alias("at_ms"), "rms_dbfs", "onset", "flux")
+    """Audio features aligned to hop starts with linear level, zeros where no window is, and
+    the window itself as ``audio`` (null where none is). ``windows`` may carry loudness_lufs_short_term."""
+    loud = F.col("loudness_lufs_short_term") if "loudness_lufs_short_term" in windows.columns else F.lit(None)
+    window = F.struct("rms_dbfs", F.col("onset").alias("onset_strength"), F.col("flux").alias("spectral_flux"), loud.cast("double").alias("loudness_lufs_short_term"))
+    w = windows.select("clip_id", F.col("start_ms").alias("at_ms"), "rms_dbfs", "onset", "flux", window.alias("audio"))
     level = F.pow(dbl(10), F.col("rms_dbfs") / dbl(20))
     zero = dbl(0)
     return points.join(w, ["clip_id", "at_ms"], "left").select(
-        *points.columns, "rms_dbfs",
+        *points.columns, "audio",
         F.coalesce("onset", zero).alias("onset_raw"),
         F.coalesce("flux", zero).alias("flux_raw"),
         F.coalesce(level, zero).alias("level_raw"),
@@ -182,17 +188,21 @@ def build_timeline(clips: DataFrame, shots: DataFrame, pairs: DataFrame, windows
                    cfg: Tension = Tension()) -> DataFrame:
     """Every point of every clip with its shot, three activities and combined proxy.
 
-    ``clips`` carries clip_id, duration_ms, audio_available, motion_available; ``pairs``
-    carries shot_index and only unflagged pairs.
+    ``clips`` carries clip_id, duration_ms, audio_available, motion_available and, where there are
+    any, audio_reason and extra_warnings (an array); ``pairs`` carries shot_index and only unflagged
+    pairs. ``audio`` is the window at each point and ``warnings`` what holds for the clip.
     """
-    points = hop_starts(clips, cfg.hop_ms, ("audio_available", "motion_available"))
+    given = {"audio_reason": F.lit(None).cast("string"), "extra_warnings": F.array().cast("array<string>")}
+    clips = clips.withColumns({c: x for c, x in given.items() if c not in clips.columns})
+    points = hop_starts(clips, cfg.hop_ms, ("audio_available", "motion_available", "audio_reason", "extra_warnings"))
     points = assign_shots(points, shots, fallback=False)
     points = audio_at(cut_activity(motion_at(points, pairs, cfg.hop_ms), shots, cfg), windows)
     points = activities(points, cfg)
     points = points.withColumns(effective_weights(F.col("audio_available"), F.col("motion_available"), cfg.weights))
+    every = merge_warnings(F.coalesce("extra_warnings", F.array().cast("array<string>")), F.col("weight_warnings"), F.col("audio_reason"))
     return points.withColumns(combine_tension()).select(
         "clip_id", "at_ms", "shot_index", "cut_activity", "audio_activity", "motion_activity",
-        "combined_proxy", "weight_cut", "weight_audio", "weight_motion", "weight_warnings",
+        "combined_proxy", "weight_cut", "weight_audio", "weight_motion", every.alias("warnings"), "audio",
     )
 
 
@@ -214,17 +224,44 @@ def peaks(points: DataFrame) -> DataFrame:
     return df.where(F.col("_peak") | (~F.col("_any") & (F.col("at_ms") == F.col("_best")))).drop("_peak", "_any", "_best")
 
 
-def timeline_summary(points: DataFrame) -> DataFrame:
-    """Per clip: point count, weights, warnings and the peak list in time order."""
+def timeline_head(cfg: AnalysisConfig = DEFAULT_CONFIG) -> dict[str, Column]:
+    """What a timeline says about its making: hop, window, method version and configured weights."""
+    w = cfg.tension.weights
+    weights = F.struct(*[dbl(x).alias(n) for n, x in (("cut_activity", w.cut_activity), ("audio_activity", w.audio_activity), ("motion", w.motion))])
+    return {"hop_ms": F.lit(cfg.tension.hop_ms), "window_ms": F.lit(cfg.audio.window_ms), "method_version": F.lit(METHOD_VERSION), "weights": weights}
+
+
+def _effective() -> Column:
+    return F.struct(*[F.max(c).alias(n) for n, c in (("cut_activity", "weight_cut"), ("audio_activity", "weight_audio"), ("motion", "weight_motion"))])
+
+
+def timeline_documents(points: DataFrame, analyses: DataFrame, cfg: AnalysisConfig = DEFAULT_CONFIG) -> DataFrame:
+    """analysis_id, document: the JSON text of each analysis' timeline with every field of the fixed schema.
+
+    ``analyses``: clip_id, analysis_id, one row each. Points of an accepted clip are bounded by its length
+    (2,400 at the default hop), so a clip's points fit one row. An analysis without points gets an empty list.
+    """
+    tension = F.struct("cut_activity", "audio_activity", "motion_activity", "combined_proxy")
+    point = F.struct("at_ms", "shot_index", tension.alias("tension"), "audio")
+    grouped = points.groupBy("clip_id").agg(F.array_sort(F.collect_list(point)).alias("points"), F.max("warnings").alias("warnings"), _effective().alias("effective_weights"))
+    rows = analyses.select("clip_id", "analysis_id").join(grouped, "clip_id", "left")
+    made = rows.withColumns(timeline_head(cfg)).withColumns({
+        "schema_version": F.lit(SCHEMA_VERSION), "points": F.coalesce("points", F.array()),
+        "warnings": F.coalesce("warnings", F.array()), "analysis_id": F.col("analysis_id").cast("string")})
+    return made.select("analysis_id", F.to_json(F.struct(*keys(TIMELINE)), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def timeline_summary(points: DataFrame, cfg: AnalysisConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Per clip: point count, hop, window, method, configured and effective weights, warnings
+    and the peak list in time order."""
     head = points.groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("point_count"),
-        *[F.max(c).alias(c) for c in ("weight_cut", "weight_audio", "weight_motion")],
-        F.first("weight_warnings").alias("warnings"),
+        _effective().alias("effective_weights"), F.max("warnings").alias("warnings"),
     )
     top = peaks(points).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct(
         "at_ms", "combined_proxy", "cut_activity", "audio_activity", "motion_activity"
     ))).alias("peaks"))
-    return head.join(top, "clip_id", "left")
+    return head.join(top, "clip_id", "left").withColumns(timeline_head(cfg))
 
 
 def time_range(points: DataFrame, start_ms: int, end_ms: int) -> DataFrame:

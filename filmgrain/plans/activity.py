@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from filmgrain.config import TensionWeights
@@ -9,6 +11,9 @@ from filmgrain.functions.numeric import clip01, dbl, r6
 from filmgrain.operators import shots as S, timeline as T
 from filmgrain.plans.registry import query
 from filmgrain.plans.sqltext import add_views, r6 as q6
+from filmgrain.schemas import TIMELINE, struct
+from filmgrain.session import work_folder
+from filmgrain.sources.tables import read_documents
 from filmgrain.views import Views
 
 HOP = 500
@@ -71,7 +76,10 @@ def _points(v: Views):
 
 
 def _timeline(v: Views):
-    return T.build_timeline(v.clips(), v.shots(), v.calm_series(), v.audio())
+    clips = v.clips().withColumns({
+        "audio_reason": F.when(~F.col("audio_available"), F.lit(T.NO_AUDIO)),
+        "extra_warnings": F.when(F.pmod("clip_id", F.lit(5)) == 0, F.array(F.lit("cut_like_flow_discontinuity"))).otherwise(F.array().cast("array<string>"))})
+    return T.build_timeline(clips, v.shots(), v.calm_series(), v.audio())
 
 
 def _simple(v: Views):
@@ -153,17 +161,35 @@ def wn16(v):
 
 
 @query("wn17_timeline_summary", f"""
-SELECT s.clip_id, s.n point_count, p.n peak_count, p.first_peak, {q6('p.top', 'top_peak')} FROM
+SELECT s.clip_id, s.n point_count, p.n peak_count, p.first_peak, {q6('p.top', 'top_peak')}, 'w' warnings, 500 hop_ms, 1000 window_ms, 'tension-v1' method_version,
+ 0.35::DOUBLE weight_motion, 0.0::DOUBLE used_motion FROM
 (SELECT clip_id, count(*) n FROM v_simple GROUP BY 1) s JOIN
 (SELECT clip_id, count(*) n, min(at_ms) first_peak, max(combined_proxy) top FROM v_peaks GROUP BY 1) p USING (clip_id)""")
 def wn17(v):
     zero = dbl(0)
     points = _simple(v).withColumns({c: zero for c in _TL if c != "combined_proxy"}).withColumn(
-        "weight_warnings", F.array().cast("array<string>"))
+        "warnings", F.array(F.lit("w")))
     s = T.timeline_summary(points)
     return s.select("clip_id", "point_count", F.size("peaks").cast("bigint").alias("peak_count"),
                     F.col("peaks")[0]["at_ms"].alias("first_peak"),
-                    r6(F.array_max(F.col("peaks.combined_proxy"))).alias("top_peak"))
+                    r6(F.array_max(F.col("peaks.combined_proxy"))).alias("top_peak"), F.array_join("warnings", ",").alias("warnings"), "hop_ms", "window_ms", "method_version",
+                    F.col("weights.motion").alias("weight_motion"), F.col("effective_weights.motion").alias("used_motion"))
+
+
+@query("wn15_timeline_documents", f"""
+SELECT CAST(t.clip_id AS VARCHAR) analysis_id, 500 hop_ms, 1000 window_ms, {q6('weight_audio', 'used_audio')}, t.at_ms, shot_index, {q6('combined_proxy', 'combined_proxy')}, {q6('a.rms_dbfs', 'rms_dbfs')}, {q6('a.onset', 'onset')}, {q6('a.flux', 'flux')},
+ array_to_string(CASE WHEN audio_available THEN [] ELSE ['no_audio_stream'] END || CASE WHEN t.clip_id%5=0 THEN ['cut_like_flow_discontinuity'] ELSE [] END ||
+ CASE WHEN audio_available THEN [] ELSE ['audio_unavailable_weights_renormalized'] END || CASE WHEN motion_available THEN [] ELSE ['motion_unavailable_weights_renormalized'] END, ',') warnings
+FROM v_timeline t JOIN v_clips c ON c.clip_id=t.clip_id LEFT JOIN v_audio a ON a.clip_id=t.clip_id AND a.start_ms=t.at_ms""")
+def wn15_documents(v):
+    """Timelines written as documents, read back with the fixed schema and laid out in points."""
+    docs = T.timeline_documents(_timeline(v), v.clips().select("clip_id", F.col("clip_id").alias("analysis_id")))
+    path = f"{work_folder(v.spark)}/timelines-{uuid.uuid4().hex}"
+    docs.select(F.col("document").alias("value")).write.text(path)
+    read = read_documents(v.spark, path, struct(TIMELINE), strict=True)
+    p = read.select("analysis_id", "hop_ms", "window_ms", F.col("effective_weights.audio_activity").alias("used_audio"), F.array_join("warnings", ",").alias("warnings"), F.explode("points").alias("p"))
+    return p.select("analysis_id", "hop_ms", "window_ms", r6(F.col("used_audio")).alias("used_audio"), "p.at_ms", "p.shot_index", r6(F.col("p.tension.combined_proxy")).alias("combined_proxy"),
+                    *[r6(F.col(f"p.audio.{c}")).alias(n) for c, n in (("rms_dbfs", "rms_dbfs"), ("onset_strength", "onset"), ("spectral_flux", "flux"))], "warnings")
 
 
 @query("wn18_thin_timeline", """
