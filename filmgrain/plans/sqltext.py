@@ -81,6 +81,10 @@ def add_views(views: dict[str, str]) -> None:
     VIEWS.update(views)
 
 
+# Views that several others read; worked out once instead of at every mention.
+SHARED = {"v_shots", "v_calm", "v_point_shots"}
+
+
 def with_views(body: str, *names: str) -> str:
     """``body`` behind the named views and whatever those need, in definition order."""
     plain = {n.split("(")[0]: n for n in VIEWS}
@@ -91,7 +95,7 @@ def with_views(body: str, *names: str) -> str:
         if n in plain and n not in need:
             need.add(n)
             todo += re.findall(r"\bv_\w+", VIEWS[plain[n]])
-    ctes = [f"{full} AS ({VIEWS[full]})" for short, full in plain.items() if short in need]
+    ctes = [f"{full} AS {'MATERIALIZED ' if short in SHARED else ''}({VIEWS[full]})" for short, full in plain.items() if short in need]
     head = body.lstrip()
     extra = ""
     if head.upper().startswith("WITH "):
