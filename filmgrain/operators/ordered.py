@@ -4,6 +4,8 @@ A plain ``Window.partitionBy(key)`` sorts each key in one task. The helpers here
 partition by ``(key, chunk)``, where ``chunk`` never decreases along the order
 (a time bucket, a frame number), and pass one small summary row per chunk from
 chunk to chunk. The only window over a whole key then runs on those summaries.
+Chunks that hold more than ``CHUNK_ROWS`` rows are cut finer first, so their
+number grows with the rows and not only with the length of a clip.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Order = Sequence[str]
+# Rows of one chunk that a task sorts without harm, and the input below which no chunk is worth counting.
+CHUNK_ROWS = 4_000_000
+SMALL_BYTES = 64 << 20
 
 
 def clip_window():
@@ -50,10 +55,53 @@ def _by_chunk(keys: Sequence[str]) -> list[str]:
     return [*keys, "_chunk"]
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """What the planner knows of the size of everything ``df`` reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column) -> DataFrame:
+    """``df`` with ``_chunk``, which never decreases along the order.
+
+    A chunk above ``CHUNK_ROWS`` is parted by the value range of its first order column that
+    varies; a second round parts what one value or a crowded range still holds together. Large chunks
+    are few (rows over ``CHUNK_ROWS`` at most), so the table of them is small and is measured as such.
+    Small inputs keep the chunks they were given, with the same results.
+    """
+    df = df.withColumn("_chunk", chunk)
+    if _input_bytes(df) < SMALL_BYTES:
+        return df
+    types = dict(df.dtypes)
+    lead = []
+    for c in order:
+        if types[c] not in ("int", "bigint", "smallint", "tinyint", "double", "float", "timestamp", "date"):
+            break
+        lead.append((c, F.unix_date(c).cast("double") if types[c] == "date" else F.col(c).cast("double")))
+    for _ in range(2):
+        ends = []
+        for i, (c, x) in enumerate(lead):
+            held = F.count(c)
+            varies = (F.min(c) != F.max(c)) | ((held > 0) & (held < F.count(F.lit(1))))
+            ends += [F.min(x).alias(f"_low{i}"), F.max(x).alias(f"_high{i}"), F.coalesce(varies, F.lit(False)).alias(f"_varies{i}")]
+        large = df.groupBy(*_by_chunk(keys)).agg(F.count(F.lit(1)).alias("_rows"), *ends).where(F.col("_rows") > CHUNK_ROWS)
+        parts = F.ceil(F.col("_rows") / CHUNK_ROWS)
+        cut = F.lit(0).cast("bigint")
+        # A later column parts a chunk only where all earlier ones stand still. Nulls come first.
+        for i, (c, x) in reversed(list(enumerate(lead))):
+            low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+            share = F.least(F.floor((x - low) / F.when(high > low, high - low) * parts), parts - 1)
+            share = F.when(high > low, share).when(F.col(c).isNotNull(), parts - 1)
+            cut = F.when(F.col(f"_varies{i}"), F.coalesce(share, F.lit(0))).otherwise(cut)
+        df = df.join(large, _by_chunk(keys), "left").withColumn("_part", F.when(F.col("_rows").isNotNull(), cut).otherwise(0))
+        df = df.withColumn("_chunk", F.struct("_chunk", "_part")).drop("_part", "_rows", *(f"_{n}{i}" for n in ("low", "high", "varies") for i in range(len(lead))))
+    return df
+
+
 def with_row_number(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column, name: str = "rn",
                     total: str | None = None) -> DataFrame:
     """Zero-based position inside each key, optionally with the key's row count."""
-    df = df.withColumn("_chunk", chunk)
+    df = _chunked(df, keys, order, chunk)
     sizes = df.groupBy(*_by_chunk(keys)).agg(F.count(F.lit(1)).alias("_size"))
     run = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -73,7 +121,7 @@ def with_row_number(df: DataFrame, keys: Sequence[str], order: Order, chunk: Col
 def with_previous(df: DataFrame, keys: Sequence[str], order: Order, chunk: Column,
                   columns: Sequence[str], name: str = "prev") -> DataFrame:
     """Struct of ``columns`` of the row before, null on the first row of a key."""
-    df = df.withColumn("_chunk", chunk)
+    df = _chunked(df, keys, order, chunk)
     packed = F.struct(*columns)
     inner = Window.partitionBy(*_by_chunk(keys)).orderBy(*order)
     tails = df.groupBy(*_by_chunk(keys)).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
@@ -91,7 +139,7 @@ def with_next_marked(df: DataFrame, keys: Sequence[str], order: Order, chunk: Co
 
     The order is walked backwards so the frame only ever grows by one row.
     """
-    df = df.withColumn("_chunk", chunk)
+    df = _chunked(df, keys, order, chunk)
     back = [F.col(c).desc() for c in order]
     inner = Window.partitionBy(*_by_chunk(keys)).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
     marked = F.when(F.col(value).isNotNull(), F.struct(*order))

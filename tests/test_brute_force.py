@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filmgrain.config import Spatial
-from filmgrain.operators import audio as A, colour as C, motion as M, sampling as P, shots as S, spatial as X
+from filmgrain.operators import audio as A, colour as C, motion as M, ordered as O, sampling as P, shots as S, spatial as X
 from filmgrain.operators.ordered import join_one, with_neighbour_mean, with_next_marked, with_previous, with_row_number
 from filmgrain.operators.quantiles import Pick, grouped_medians, grouped_quantiles
 
@@ -245,3 +245,28 @@ def test_cluster_finds_separate_groups(spark, table):
     rows = [(1, *(c + RNG.uniform(-0.5, 0.5) for c in spots[i % 3])) for i in range(300)]
     got = sorted((round(r.lstar / 20) * 20, r.n) for r in C.palette_centres(table("shot_id int, lstar double, a_star double, b_star double", rows).withColumn("n", F.lit(1).cast("bigint")), clusters=3).collect())
     assert got == [(20, 100), (60, 100), (80, 100)]
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, i // 3, i) for i in range(200)], [(1, 7, i) for i in range(200)], [(1, None if i % 2 else 5, i) for i in range(120)],
+    [(1, 10 ** 17 + i, i) for i in range(90)], [(1, 0 if i else 10 ** 9, i) for i in range(100)] + [(2, 3, 1), (3, None, 2)]])
+def test_one_crowded_chunk_is_cut_and_gives_the_same(spark, table, monkeypatch, rows):
+    """All rows of a key in one chunk: cut finer where counted as large, with the results of a plain sort."""
+    monkeypatch.setattr(O, "CHUNK_ROWS", 10)
+    monkeypatch.setattr(O, "SMALL_BYTES", 0)
+    df = table("k int, t bigint, ord bigint, mark int", [(k, t, o, o if o % 9 == 4 else None) for k, t, o in rows])
+    chunk, order = F.lit(0), ["t", "ord"]
+    plain = {}
+    for k, t, o in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+        plain.setdefault(k, []).append((t, o))
+    number = {(r.k, r.t, r.ord): (r.rn, r.n) for r in O.with_row_number(df, ["k"], order, chunk, "rn", "n").collect()}
+    before = {(r.k, r.t, r.ord): r.prev and r.prev.ord for r in O.with_previous(df, ["k"], order, chunk, ["ord"]).collect()}
+    after = {(r.k, r.t, r.ord): r.seen for r in O.with_next_marked(df, ["k"], order, chunk, "mark", "seen").collect()}
+    for k, line in plain.items():
+        for i, (t, o) in enumerate(line):
+            assert number[k, t, o] == (i, len(line))
+            assert before[k, t, o] == (line[i - 1][1] if i else None)
+            assert after[k, t, o] == next((x for _, x in line[i:] if x % 9 == 4), None)
+    if rows[0][1] == 0 or rows[-1][1] == 7:
+        sizes = [r["count"] for r in O._chunked(df, ["k"], order, chunk).groupBy("k", "_chunk").count().collect()]
+        assert max(sizes) <= 20 < len(rows)
