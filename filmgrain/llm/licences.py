@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filmgrain.llm.batches import lowered, mix, slices, span_hashes, text_bytes, word_spans
+from filmgrain.llm.shared import hash_sample
 
 # Notices by which licences are commonly given, as (family, text).
 TEMPLATES = (
@@ -129,12 +130,13 @@ def train_licences(critiques: DataFrame, templates: tuple[tuple[str, str], ...]
     """A model of the templates' families against ordinary paragraphs.
 
     Positive rows are disturbed copies of the templates. Negative rows are at most ``negatives``
-    paragraphs of ``critiques`` (smallest hashes of id and line) that share under half of every template's word pairs. Three
+    paragraphs from as many of ``critiques`` (smallest hashes) that share under half of every template's word pairs. Three
     quarters fit a logistic regression on hashed 1- to 3-word runs; the rest set the
     temperature of the probabilities and the bound under which a notice counts as unknown:
     half way from the highest family probability of an ordinary paragraph to 1, and 0.5 at least.
     """
-    lines = critiques.where("text is not null").select("critique_run_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    some = hash_sample(critiques.where("text is not null").select("critique_run_id", "text"), negatives, "critique_run_id", "text")
+    lines = some.select("critique_run_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
     found = sorted({r.line for r in lines.orderBy(F.xxhash64("critique_run_id", "line"), "line").select("line").limit(negatives).collect()})
     pairs = [word_pairs(t) for _, t in templates]
     plain = [x for x in found if all(2 * len(p & mine) < len(p) for mine in [word_pairs(x)] for p in pairs)]

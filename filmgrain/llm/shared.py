@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-
-def scratch(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session without
-    one gets a temporary folder; on a cluster a missing setting is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = os.path.join(tempfile.gettempdir(), f"filmgrain-{os.getpid()}")
-    os.makedirs(made, exist_ok=True)
-    return made
+from filmgrain.session import work_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so later jobs survive lost executors
     and nothing is computed twice."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, size: int, *columns: str) -> DataFrame:
+    """At most ``size`` rows, those with the smallest hashes of ``columns``. Rows are thinned by their hash
+    before they are sorted, so what tasks send along doesn't grow with their number."""
+    place = F.xxhash64(*columns)
+    total = df.count()
+    if total > 2 * size:
+        df = df.where(F.pmod(place, F.lit(1 << 31)) < int((1 << 31) * 1.5 * size / total))
+    return df.orderBy(F.pmod(place, F.lit(1 << 31)), place, *columns).limit(size)
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` can reach.
 
