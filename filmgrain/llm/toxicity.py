@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filmgrain.llm.batches import lowered, shingle_hashes, slices, span_hashes, text_bytes, word_spans
-from filmgrain.llm.shared import stored
+from filmgrain.llm.shared import hash_sample, stored
 
 SAMPLE = 20_000
 MAX_TERMS = 2_000
@@ -201,7 +201,7 @@ def _sampled(critiques: DataFrame, labels: DataFrame, size: int) -> DataFrame:
 
     # The sample's size bounds this broadcast.
     wanted = labels.where("toxic is not null and critique_run_id is not null").groupBy("critique_run_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    wanted = F.broadcast(wanted.orderBy(F.xxhash64("critique_run_id"), "critique_run_id").limit(size))
+    wanted = F.broadcast(hash_sample(wanted, size, "critique_run_id"))
     rows = critiques.where("text is not null").select("critique_run_id", "text").join(wanted, "critique_run_id").select("text", "toxic")
     return stored(rows.mapInArrow(run, "text string, toxic int, least bigint").groupBy("least", "toxic").agg(F.min("text").alias("text")).drop("least"))
 
