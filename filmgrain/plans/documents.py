@@ -163,9 +163,9 @@ def src05(v):
     """Everything is stored, then a quarter of the analyses are stored again."""
     docs = v.table("orders").select(F.col("o_orderkey").alias("analysis_id"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("score"))
     path = _scratch(v, "stage")
-    T.replace_documents(v.spark, docs, path, "analysis_id", 8)
+    T.replace_documents(v.spark, docs, path, "analysis_id")
     again = docs.where(F.pmod("analysis_id", F.lit(4)) == 0).withColumn("score", F.col("score") * 2)
-    T.replace_documents(v.spark, again, path, "analysis_id", 8)
+    T.replace_documents(v.spark, again, path, "analysis_id")
     return T.read_stored(v.spark, path)
 
 
@@ -175,10 +175,10 @@ SELECT clip_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), duration_ms FROM v_clips W
 def src06(v):
     """Shots are stored, then every fifth clip is replaced by one whole-length shot."""
     path = _scratch(v, "shots")
-    T.replace_documents(v.spark, v.shots().select("clip_id", "shot_index", "start_ms", "end_ms"), path, "clip_id", 8)
+    T.replace_documents(v.spark, v.shots().select("clip_id", "shot_index", "start_ms", "end_ms"), path, "clip_id")
     zero = F.lit(0).cast("bigint")
     whole = v.clips().where(F.pmod("clip_id", F.lit(5)) == 0).select("clip_id", zero.alias("shot_index"), zero.alias("start_ms"), F.col("duration_ms").alias("end_ms"))
-    T.replace_documents(v.spark, whole, path, "clip_id", 8)
+    T.replace_documents(v.spark, whole, path, "clip_id")
     return T.read_stored(v.spark, path)
 
 
