@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmgrain.llm.batches import list_column
-from filmgrain.llm.shared import stored
+from filmgrain.llm.shared import hash_sample, stored
 
 TOP = 5
 PIVOTS = 32
@@ -153,7 +153,7 @@ def nearest_shots(shots: DataFrame, queries: DataFrame, top: int = TOP, pivots:
     shots = shots.withColumns({"dims": F.size("whole"), "length": F.aggregate("whole", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))})
     heads = {r.dims: r.most for r in shots.groupBy("dims").agg(F.max("length").alias("most")).collect()}
     by_dims: dict[int, list] = {}
-    for r in shots.select("dims", "whole").orderBy(F.xxhash64("shot_id"), "shot_id").limit(sample).collect():
+    for r in hash_sample(shots.select("shot_id", "dims", "whole"), sample, "shot_id").collect():
         by_dims.setdefault(r.dims, []).append(r.whole)
 
     def lifted(whole: np.ndarray) -> np.ndarray:
