@@ -65,17 +65,32 @@ def _flux(samples: np.ndarray) -> float:
 def spectral_flux(pcm: DataFrame, clips: DataFrame, rate: int, hop_ms: int = 500, window_ms: int = 1000) -> DataFrame:
     """Flux (also the onset strength) of every window.
 
-    A group is one window: at most ``rate * window_ms / 1000`` samples.
+    Samples are packed once into arrays of one window's length; a window takes its parts of the two
+    or three arrays it touches, and Python transforms many windows a batch. A window holds at
+    most ``rate * window_ms / 1000`` samples.
     """
-    clip_type = pcm.schema["clip_id"].dataType.simpleString()
-    rows = _in_clip(pcm, clips, rate).select(
-        "clip_id", F.explode(_windows_of(F.col("i"), rate, hop_ms, window_ms)).alias("start_ms"), "i", "x")
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("i")["x"].to_numpy(float)
-        return pd.DataFrame({"clip_id": [pdf["clip_id"].iloc[0]], "start_ms": [pdf["start_ms"].iloc[0]], "flux": [_flux(x)]})
-
-    flux = rows.groupBy("clip_id", "start_ms").applyInPandas(measure, f"clip_id {clip_type}, start_ms bigint, flux double")
+    span = max(1, rate * window_ms // 1000)
+    packed = _in_clip(pcm, clips, rate).groupBy("clip_id", F.floor(F.col("i") / span).cast("bigint").alias("_seg")).agg(
+        F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias("_s"))
+    low, high = F.col("_seg") * span, (F.col("_seg") + 1) * span
+
+    def first(start):
+        return F.floor(start * rate / 1000)
+
+    # Windows whose samples may lie in the array, one too many on each side.
+    k0 = F.greatest(F.floor((low * 1000 / rate - window_ms) / hop_ms).cast("bigint") - 1, F.lit(0).cast("bigint"))
+    k1 = F.floor(high * 1000 / rate / hop_ms).cast("bigint") + 1
+    parts = packed.select("clip_id", "_s", F.explode(F.sequence(k0, k1)).alias("_k")).withColumn("start_ms", F.col("_k") * hop_ms)
+    mine = F.filter("_s", lambda p: (p["i"] >= first(F.col("start_ms"))) & (p["i"] < first(F.col("start_ms") + window_ms)))
+    parts = parts.select("clip_id", "start_ms", mine.alias("_p")).where(F.size("_p") > 0)
+    whole = F.array_sort(F.flatten(F.collect_list("_p")))
+    windows = parts.groupBy("clip_id", "start_ms").agg(F.transform(whole, lambda p: p["x"]).alias("x"))
+
+    @F.pandas_udf("double")
+    def measure(x: pd.Series) -> pd.Series:
+        return pd.Series([_flux(np.asarray(w, float)) for w in x])
+
+    flux = windows.select("clip_id", "start_ms", measure("x").alias("flux"))
     grid = hop_starts(clips, hop_ms).withColumnRenamed("at_ms", "start_ms")
     return grid.join(flux, ["clip_id", "start_ms"], "left").withColumn("flux", F.coalesce("flux", dbl(0)))
 
