@@ -22,7 +22,9 @@ MIN_SHARE = 0.004
 MIN_CLEAR = 2.5
 MIN_EVIDENCE = 18.0
 WINDOW = 16
-MEMO_SIZE = 300_000
+# Words and automaton states that a task remembers; both start over beyond that.
+MEMO_SIZE = 100_000
+MAX_STATES = 20_000
 FEATURES = 8
 _TOKEN = re.compile(r"\w+")
 _QUOTES = re.compile("[\"“”«»„]")
@@ -74,6 +76,10 @@ class Lexicon:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], term.edits)
             self.ends[node].append(term)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the states made so far; they are made again when needed."""
         # State 0 stands before the first letter; its own number keeps it apart from the dead state.
         self.ids: dict[frozenset, int] = {}
         self.states = [frozenset([(0, 0)])]
@@ -122,6 +128,8 @@ class Lexicon:
         return weight, -edits
 
     def value(self, word: str) -> tuple[float, int]:
+        if len(self.states) > MAX_STATES:
+            self.forget()
         state, best = 0, (0.0, 0)
         for i, c in enumerate(word):
             moves = self.moves[state]

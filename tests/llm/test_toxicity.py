@@ -39,6 +39,14 @@ def test_automaton_equals_edit_distance(word):
     assert toxicity.Lexicon(TERMS).value(word)[0] == best
 
 
+def test_forgotten_states_are_made_again(monkeypatch):
+    words = ["abcab", "abccc", "cabbac", "baccabcabb", "ccc", "cc"]
+    lexicon = toxicity.Lexicon(TERMS)
+    want = [lexicon.value(w) for w in words]
+    monkeypatch.setattr(toxicity, "MAX_STATES", 2)
+    assert [lexicon.value(w) for w in words * 3] == want * 3
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     rng = random.Random(11)
