@@ -1,6 +1,7 @@
 """Licence notices: planted ones found, look-alikes left unknown."""
 
 import random
+import textwrap
 
 import pytest
 
@@ -27,6 +28,50 @@ def test_every_template_is_found_and_prose_is_not(spark, model):
     assert all(r.n_paragraphs == (3 if i < 100 else 4) for i, r in got.items())
 
 
+def test_wrapped_notices_are_found(spark, model):
+    """Each template wrapped at 40 and 72 columns, bare and behind comment marks."""
+    rng, rows, want = random.Random(4), [], []
+    for family, text in licences.TEMPLATES:
+        for width, mark in ((40, ""), (72, ""), (40, "# "), (72, " * ")):
+            rows.append((len(rows), prose(rng, 20) + "\n\n" + textwrap.fill(text, width, initial_indent=mark, subsequent_indent=mark) + "\n\n" + prose(rng, 20)))
+            want.append([family])
+    got = licences.scan_licences(spark.createDataFrame(rows, "critique_run_id bigint, text string"), model).collect()
+    assert [r.licences for r in sorted(got, key=lambda r: r.critique_run_id)] == want
+    assert all(r.n_unknown == 0 for r in got)
+
+
+def test_notices_inside_other_text_are_found(spark, model):
+    """Each template inside a long line and inside a block of prose lines, and two notices on one line."""
+    rng, rows, want = random.Random(5), [], []
+    for family, text in licences.TEMPLATES:
+        rows.append((len(rows), f"{prose(rng, 150)} {text} {prose(rng, 150)}"))
+        rows.append((len(rows), textwrap.fill(f"{prose(rng, 60)} {text} {prose(rng, 60)}", 60)))
+        want += [[family]] * 2
+    rows.append((len(rows), "Licensed under CC BY 4.0. Released under the MIT License."))
+    want.append(["CC-BY-4.0", "MIT"])
+    got = licences.scan_licences(spark.createDataFrame(rows, "critique_run_id bigint, text string"), model).collect()
+    assert [r.licences for r in sorted(got, key=lambda r: r.critique_run_id)] == want
+
+
+def test_wrapped_unknown_licences_and_plain_blocks(spark, model):
+    rng = random.Random(6)
+    odd = "Licensed under the Foobar Community License, version 9."
+    rows = [(1, f"{prose(rng, 80)} {odd} {prose(rng, 80)}"), (2, "Licensed\nunder the Foobar\nCommunity License,\nversion 9."), (3, odd + "\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files,\nto deal in the Software without restriction")]
+    rows += [(100 + i, "\n".join(prose(rng, rng.randrange(1, 60)) for _ in range(12))) for i in range(60)]
+    got = {r.critique_run_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "critique_run_id bigint, text string"), model).collect()}
+    assert got[1].licences == got[2].licences == [] and got[1].n_unknown and got[2].n_unknown
+    assert got[3].licences == ["MIT"] and got[3].n_unknown == 1
+    assert all(not r.licences and not r.n_unknown and r.score < 0.5 for i, r in got.items() if i >= 100)
+
+
+def test_notices_across_the_scored_chunks(spark, model, monkeypatch):
+    rng = random.Random(7)
+    data, offsets = licences._packed([prose(rng, n) for n in (3, 90, 1, 200)])
+    whole = model.windows(data, offsets)
+    monkeypatch.setattr(licences, "CHUNK_WORDS", 16)
+    assert all((abs(a - b) < 1e-9).all() for a, b in zip(whole, model.windows(data, offsets)))
+
+
 def test_unknown_licences_are_not_named(spark, model):
     text = "Licensed under the Foobar Community License, version 9."
     row = licences.scan_licences(spark.createDataFrame([(1, text)], "critique_run_id bigint, text string"), model).first()
