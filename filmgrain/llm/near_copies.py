@@ -210,13 +210,15 @@ def link_near_copies(critiques: DataFrame, words: int = WORDS, percent: int = PE
         "critique_run_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("critique_run_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first_copies(critiques: DataFrame) -> DataFrame:
+def keep_first_copies(critiques: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """``critiques`` with one row of each group of near copies (the smallest id), all columns kept.
 
+    ``percent``: the similarity from which texts are copies; ``matches``: collisions a pair needs to be
+    compared, to be lowered with ``percent``.
     Rows without words, and rows of a group that has null ids only, all stay. Of rows that repeat both id and text
     one stays. Cases and method are those of ``link_near_copies``.
     """
-    kept = stored(link_near_copies(critiques).where("kept").groupBy(F.col("critique_run_id").alias("_id")).agg(
+    kept = stored(link_near_copies(critiques, percent=percent, matches=matches).where("kept").groupBy(F.col("critique_run_id").alias("_id")).agg(
         F.sum((F.col("n_shingles") > 0).cast("int")).alias("_rows")))
     first = critiques.join(kept.select("_id"), F.col("critique_run_id").eqNullSafe(F.col("_id")), "left_semi")
     if kept.where("_rows > 1 and _id is not null").limit(1).count():

@@ -1,5 +1,7 @@
 """The registered corpus queries and the pipeline on the driver tables."""
 
+import random
+
 import __spark_entry__
 import duckdb
 import pytest
@@ -7,6 +9,7 @@ import pytest
 import corpus_pipeline
 from filmgrain.llm.queries import ORACLES, QUERIES
 from tests.conftest import SMALL
+from tests.llm.test_near_copies import brute
 from tools.compare import connect, differences
 
 
@@ -36,6 +39,21 @@ def test_pipeline_stages_follow_their_operators(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select("doc_id", "n_pieces").collect())) == sorted((i, r.n_pieces) for i, r in last.items())
 
 
+def test_near_copies_from_four_fifths_go(spark):
+    """Pairs of every similarity around 0.80 and 0.85: the stage keeps what plain Python keeps."""
+    rng, rows = random.Random(9), []
+    for k in range(24):
+        words = [f"w{k}x{j}" for j in range(104)]
+        # 100 shingles each, of which 100 - new are shared: similarity from 0.89 down to 0.74.
+        new = 6 + k % 10
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:104 - new] + [f"v{k}x{j}" for j in range(new)]))]
+    rng.shuffle(rows)
+    want = {key for key, _, component in brute(rows, 80) if key == component}
+    assert want < {key for key, _, component in brute(rows, 85) if key == component}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.keep_first_copies(spark, docs, SMALL).collect()} == want
+
+
 def test_pipeline_takes_awkward_and_no_rows(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     duckdb.sql(f"COPY (SELECT * FROM '{SMALL}/benchmark.parquet') TO '{tmp_path}/benchmark.parquet' (FORMAT PARQUET)")
