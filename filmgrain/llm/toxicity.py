@@ -17,7 +17,7 @@ from filmgrain.llm.shared import hash_sample, stored
 SAMPLE = 20_000
 MAX_TERMS = 2_000
 STEM_CHARS = (3, 4, 5, 6)
-WHOLE_CHARS = (5, 24)
+WHOLE_CHARS = (4, 24)
 MIN_SHARE = 0.004
 MIN_CLEAR = 2.5
 MIN_EVIDENCE = 18.0
@@ -26,16 +26,29 @@ WINDOW = 16
 MEMO_SIZE = 100_000
 MAX_STATES = 20_000
 FEATURES = 8
-_TOKEN = re.compile(r"\w+")
+# A word may hold signs that stand in for letters.
+_TOKEN = re.compile(r"[@$]?\w+(?:[@$!]+\w+)*")
+_SIGNS = re.compile(r"[@$!]+")
 _QUOTES = re.compile("[\"“”«»„]")
-# Digits that stand in for letters inside a word.
-_FOLD = str.maketrans("013457", "oieast")
+# Digits and signs that stand in for letters inside a word.
+_FOLD = str.maketrans("013457@$!", "oieastasi")
+# Clean words whose likeness to a term means nothing.
+MAX_KNOWN = 20_000
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words; digits inside a word that has letters are read as the letters they mimic."""
-    found = _TOKEN.findall(text.lower())
-    return [w.translate(_FOLD) if not w.isalpha() and not w.isdigit() else w for w in found]
+    """Lower-cased words; digits inside a word that has letters are read as the letters they mimic.
+    Signs stay: a word that holds some may be one word or several (``_Values`` tries both)."""
+    return [_folded(w) if not _SIGNS.search(w) else w for w in _TOKEN.findall(text.lower())]
+
+
+def _folded(word: str) -> str:
+    return word.translate(_FOLD) if not word.isalpha() and not word.isdigit() else word
+
+
+def _parts(word: str) -> list[str]:
+    """The words between the signs of a word."""
+    return [_folded(w) for w in _SIGNS.split(word) if w]
 
 
 # --- lexicon and automaton ----------------------------------------------------
@@ -47,8 +60,9 @@ class Term:
 
     @property
     def edits(self) -> int:
-        """Edits a word may be away: none for short terms, one from 6 letters, two from 10."""
-        return 0 if len(self.text) < 6 else 1 if len(self.text) < 10 else 2
+        """Edits a word may be away: one from 4 letters (a stem: from 6, as many words begin almost like
+        a shorter one), two from 10."""
+        return 0 if len(self.text) < (6 if self.stem else 4) else 1 if len(self.text) < 10 else 2
 
 
 class Lexicon:
@@ -56,11 +70,13 @@ class Lexicon:
 
     A state holds (trie node, edits so far) pairs. States and their transitions are made when a
     word first needs them, which turns the product of trie and automata into one
-    deterministic automaton: a lookup costs one table access a character. The first letter
-    of a word must be right. A stem matches a word that starts with it.
+    deterministic automaton: a lookup costs one table access a character. A stem matches a word
+    that starts with it. Without ``slips`` the first letter of a word must be right; with them
+    it may be edited as any other, and two neighbours swapped are one edit.
     """
 
-    def __init__(self, terms: list[Term]):
+    def __init__(self, terms: list[Term], slips: bool = False):
+        self.slips = slips
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[Term]] = [[]]
         self.reach = [0]
@@ -82,13 +98,13 @@ class Lexicon:
         """Drops the states made so far; they are made again when needed."""
         # State 0 stands before the first letter; its own number keeps it apart from the dead state.
         self.ids: dict[frozenset, int] = {}
-        self.states = [frozenset([(0, 0)])]
+        self.states = [self._closed({0: 0}) if self.slips else frozenset([(0, 0)])]
         self.moves: list[dict[str, int]] = [{}]
         self.stems: list[tuple[float, int]] = [(0.0, 0)]
 
     def _closed(self, held: dict[int, int]) -> frozenset:
         """Skipping a term's letter costs an edit and no character of the word."""
-        todo = list(held)
+        todo = [node for node in held if not isinstance(node, tuple)]
         while todo:
             node = todo.pop()
             for child in self.children[node].values():
@@ -99,20 +115,28 @@ class Lexicon:
         return frozenset(held.items())
 
     def _move(self, state: int, c: str, first: bool) -> int:
-        held: dict[int, int] = {}
+        # (node, letter) stands before the second of two swapped letters.
+        held: dict[int | tuple[int, str], int] = {}
 
         def keep(node: int, edits: int) -> None:
             if edits <= self.reach[node] and edits < held.get(node, 9):
                 held[node] = edits
 
-        if first:
+        if first and not self.slips:
             if c in self.children[0]:
                 keep(self.children[0][c], 0)
         else:
             for node, edits in self.states[state]:
+                if isinstance(node, tuple):
+                    if node[1] == c:
+                        keep(node[0], edits)
+                    continue
                 keep(node, edits + 1)
                 for letter, child in self.children[node].items():
                     keep(child, edits + (letter != c))
+                    swapped = self.children[child].get(c) if self.slips and letter != c else None
+                    if swapped is not None and edits + 1 <= self.reach[swapped]:
+                        held[swapped, letter] = min(edits + 1, held.get((swapped, letter), 9))
         made = self._closed(held)
         if made not in self.ids:
             self.ids[made] = len(self.states)
@@ -123,7 +147,7 @@ class Lexicon:
 
     def _value(self, state: frozenset, stem: bool) -> tuple[float, int]:
         """(weight, edits) of the best term that ends in the state; (0, 0) for none."""
-        found = [(t.weight / (1 + e), -e) for node, e in state for t in self.ends[node] if t.stem == stem and e <= t.edits]
+        found = [(t.weight / (1 + e), -e) for node, e in state if not isinstance(node, tuple) for t in self.ends[node] if t.stem == stem and e <= t.edits]
         weight, edits = max(found, default=(0.0, 0))
         return weight, -edits
 
@@ -141,16 +165,21 @@ class Lexicon:
 
 
 class _Values(dict):
-    """word to its value, remembered up to a bound."""
+    """word to its value, remembered up to a bound. A ``known`` clean word isn't a misspelt term."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, known: frozenset[str] = frozenset()):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.known = lexicon, known
+
+    def _found(self, word: str) -> tuple[float, int]:
+        weight, edits = self.lexicon.value(word)
+        return (0.0, 0) if edits and word in self.known else (weight, edits)
 
     def __missing__(self, word: str) -> tuple[float, int]:
         if len(self) >= MEMO_SIZE:
             self.clear()
-        self[word] = found = self.lexicon.value(word)
+        tried = [word] if not _SIGNS.search(word) else [_folded(word), *_parts(word)]
+        self[word] = found = max(map(self._found, tried))
         return found
 
 
@@ -194,6 +223,10 @@ class ToxicityModel:
     terms: tuple[Term, ...]
     weights: tuple[float, ...]
     bias: float
+    known: frozenset[str] = frozenset()
+
+    def values(self) -> _Values:
+        return _Values(Lexicon(list(self.terms), slips=True), self.known)
 
 
 def _sampled(critiques: DataFrame, labels: DataFrame, size: int) -> DataFrame:
@@ -222,7 +255,7 @@ def _learned_terms(sample: DataFrame, max_terms: int) -> tuple[Term, ...]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = {w for w in words_of(text) if w.isalpha()}
+                words = {w for x in words_of(text) for w in _parts(x) if w.isalpha()}
                 terms = {w[:n] for w in words for n in STEM_CHARS if len(w) >= n}
                 terms |= {w + "$" for w in words if WHOLE_CHARS[0] <= len(w) <= WHOLE_CHARS[1]}
                 seen[int(toxic > 0)].update(terms)
@@ -247,11 +280,45 @@ def _learned_terms(sample: DataFrame, max_terms: int) -> tuple[Term, ...]:
     for term, weight in found.items():
         text = term.rstrip("$")
         covered = any(found.get(text[:n], 0) >= weight - 0.7 for n in STEM_CHARS if n < len(text))
-        if not covered or (term.endswith("$") and len(text) >= 6):
+        if not covered or (term.endswith("$") and len(text) >= WHOLE_CHARS[0]):
             kept.append(Term(text, not term.endswith("$"), float(weight)))
     return tuple(kept)
 
 
+def _known_words(sample: DataFrame, terms: tuple[Term, ...]) -> frozenset[str]:
+    """Words of at least two clean texts that are close to a term and mark toxic texts hardly more than others; at
+    most ``MAX_KNOWN``, the most frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = _Values(Lexicon(list(terms), slips=True))
+        seen = (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                seen[int(toxic > 0)].update({w for x in words_of(text) for w in _parts(x) if values[w][1]})
+        words = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["word", "bad", "good"])
+
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("bad")).first()
+    counts = sample.mapInArrow(run, "word string, bad bigint, good bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    clear = F.log((F.col("bad") + 0.5) / (total.bad + 1)) - F.log((F.col("good") + 0.5) / (total.n - total.bad + 1))
+    return frozenset(r.word for r in counts.where("good >= 2").where(clear < 1.0).orderBy(F.desc("good"), "word").limit(MAX_KNOWN).collect())
+
+
+def _misspelt(text: str, values: _Values) -> str | None:
+    """``text`` with two middle letters of each exact term swapped; none when it holds no such word."""
+    changed = False
+
+    def swap(m: re.Match) -> str:
+        nonlocal changed
+        word, k = m[0], len(m[0]) // 2
+        if len(word) < WHOLE_CHARS[0] or values[_folded(word)][1] or not values[_folded(word)][0]:
+            return word
+        changed = True
+        return word[:k - 1] + word[k] + word[k - 1] + word[k + 1:]
+
+    text = _TOKEN.sub(swap, text.lower())
+    return text if changed else None
+
+
 def _fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton steps with a squared penalty on the weights."""
     full = np.hstack([x, np.ones((len(x), 1))])
@@ -280,17 +347,25 @@ def train_toxicity(critiques: DataFrame, labels: DataFrame, sample: int = SAMPLE
         p = (share.bad + 0.5) / (share.n + 1)
         return ToxicityModel((), (0.0,) * FEATURES, float(np.log(p / (1 - p))) if share.n else -5.0)
 
+    known = _known_words(rows, terms)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = _Values(Lexicon(list(terms)))
+        values = ToxicityModel(terms, (), 0.0, known).values()
         for batch in batches:
-            found = [features(t, values) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+            toxic, found = [], []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                # A row with terms counts once more with them misspelt, so close hits get a weight of their own.
+                for t in (text, _misspelt(text, values)):
+                    if t is not None:
+                        toxic.append(label)
+                        found.append(features(t, values))
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
 
     seen = rows.mapInArrow(run, "toxic int, x array<double>").groupBy("toxic", "x").count().orderBy("toxic", "x").collect()
     times = [r["count"] for r in seen]
     x, y = np.repeat(np.array([r.x for r in seen]), times, 0), np.repeat(np.array([float(r.toxic > 0) for r in seen]), times)
     weights, bias = _fitted(x, y)
-    return ToxicityModel(terms, tuple(weights.tolist()), bias)
+    return ToxicityModel(terms, tuple(weights.tolist()), bias, known)
 
 
 def score_toxicity(critiques: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -298,7 +373,8 @@ def score_toxicity(critiques: DataFrame, model: ToxicityModel, carry: tuple[str,
 
     ``critiques``: critique_run_id, text; other columns are ignored. Words are met with the
     model's lexicon by Levenshtein automata over its trie, so misspelled terms count (at a
-    lower weight). Terms inside quotation marks are weighed apart from the others, and the
+    lower weight), a wrong first letter and swapped neighbours too; clean words that the training rows know don't.
+    Signs inside a word are read as the letters they mimic. Terms inside quotation marks are weighed apart from the others, and the
     densest window of words counts by itself; a logistic regression turns this into a score from 0
     to 1. predicted is 1 from 0.5 on.
 
@@ -310,7 +386,7 @@ def score_toxicity(critiques: DataFrame, model: ToxicityModel, carry: tuple[str,
     ddl = critiques.select(*names).schema.toDDL()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, weights = _Values(Lexicon(list(model.terms))), np.array(model.weights)
+        values, weights = model.values(), np.array(model.weights)
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             x = np.array([features(t or "", values) for t in texts])

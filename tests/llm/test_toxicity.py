@@ -39,6 +39,53 @@ def test_automaton_equals_edit_distance(word):
     assert toxicity.Lexicon(TERMS).value(word)[0] == best
 
 
+def swaps(a, b):
+    """Edit distance where two neighbours swapped are one edit."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                new[j] = min(new[j], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1]
+
+
+SHORT = [*TERMS, toxicity.Term("cabb", False, 2.5), toxicity.Term("bacab", False, 3.5), toxicity.Term("acbb", True, 1.5)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", min_size=1, max_size=14))
+def test_slips_equal_edit_distance_with_swaps(word):
+    found = [0.0]
+    for t in SHORT:
+        row = swaps(t.text, word)
+        edits = min(row) if t.stem else row[-1]
+        found += [t.weight / (1 + edits)] if edits <= t.edits else []
+    assert toxicity.Lexicon(SHORT, slips=True).value(word)[0] == max(found)
+
+
+def test_short_terms_first_letters_and_signs(spark):
+    """Misspelt short insults score as toxic, clean words near them don't."""
+    rng, rows, labels = random.Random(12), [], []
+    insults, clean = ["idiot", "moron", "loser", "clown", "trash", "stupid"], ["crown", "closer", "boron", "crash", "lose", "ride"]
+    for i in range(400):
+        words = prose(rng, 30).split()
+        for w in [*rng.sample(clean, 2), *(rng.sample(insults, 2) if i % 4 == 0 else [])]:
+            words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    schema = "critique_run_id bigint, text string"
+    model = toxicity.train_toxicity(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "critique_run_id bigint, toxic int"))
+    bad = ["idoit", "mroon", "lsoer", "clwon", "ztupid", "tr@sh", "lo$er", "idi0t", "oron", "diot"]
+    asked = [(i, f"{prose(rng, 15)} {a} {b} {prose(rng, 15)}") for i, (a, b) in enumerate(zip(bad, bad[1:] + bad[:1]))]
+    asked += [(100 + i, f"{prose(rng, 15)} {w} crown {prose(rng, 15)}") for i, w in enumerate(clean)]
+    got = {r.critique_run_id: r for r in toxicity.score_toxicity(spark.createDataFrame(asked, schema), model).collect()}
+    assert all(got[i].n_terms == 2 and got[i].predicted for i in range(len(bad)))
+    assert all(not got[100 + i].n_terms and not got[100 + i].predicted for i in range(len(clean)))
+
+
 def test_forgotten_states_are_made_again(monkeypatch):
     words = ["abcab", "abccc", "cabbac", "baccabcabb", "ccc", "cc"]
     lexicon = toxicity.Lexicon(TERMS)
