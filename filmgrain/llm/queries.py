@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import leaks, licences, lines, near_copies, nearest, pieces, shards, substrings, toxicity, urls
+from filmgrain.llm import leaks, licences, lines, loops, near_copies, nearest, pieces, shards, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,24 @@ def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
 def op2_repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
     cut = _by_document(substrings.remove_repeats(_critiques(spark, folder)))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _with_loops(key: Column, text: Column) -> Column:
+    """The contract's planted loops: in one text of ten (by the checksum of its id) the words from a on repeat their first p."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h, n = F.crc32(key.cast("string")), F.size(words)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    turns = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    looped = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), turns), F.lit(1), n), " ")
+    return F.when((h % 10 == 0) & F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), looped).otherwise(text)
+
+
+@query
+def op11_critique_loops(spark: SparkSession, folder: str) -> DataFrame:
+    critiques = _critiques(spark, folder)
+    found = loops.find_loops(critiques.select("critique_run_id", _with_loops(F.col("critique_run_id"), F.col("text")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return _by_document(found).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                                      F.sha2("collapsed", 256).alias("collapsed_sha256"))
