@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from filmgrain.llm import leaks, licences, lines, loops, near_copies, nearest, negatives, pieces, shards, substrings, toxicity, urls
+from filmgrain.llm import leaks, licences, lines, loops, near_copies, nearest, negatives, passages, pieces, shards, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,19 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     shots = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("shot_id"), label.alias("lighting_key"), F.col("embedding").alias("features"))
     return negatives.mine_hard_negatives(shots, shots.where("shot_id % 100 = 0").select("shot_id"))
+
+
+ORACLES["op13_first_passages"] = """
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    e AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    m AS (SELECT s, min(doc_id) AS first_id FROM e GROUP BY s),
+    g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS pos FROM e JOIN m USING (s) WHERE first_id < doc_id),
+    a AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+    k AS (SELECT a.r, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY a.pos) FILTER (g.pos IS NULL) AS kept FROM a LEFT JOIN g ON a.r = g.r AND a.pos = g.pos GROUP BY a.r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
+@query
+def op13_first_passages(spark: SparkSession, folder: str) -> DataFrame:
+    cut = _by_document(passages.keep_first_passages(_critiques(spark, folder)))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
