@@ -10,7 +10,7 @@ from filmgrain.config import Chromatic, LightingKey
 from filmgrain.functions.colour import hex_code, lab, lab_to_rgb, near_black
 from filmgrain.functions.numeric import clip, dbl
 from filmgrain.operators.ordered import with_row_number
-from filmgrain.operators.quantiles import Pick, grouped_quantiles
+from filmgrain.session import stored
 
 
 def with_lab(pixels: DataFrame) -> DataFrame:
@@ -24,6 +24,30 @@ def _kept_rows(bounds: DataFrame, frame: list[str], *columns: str) -> DataFrame:
     return open_frames.select(*frame, *columns, F.explode(F.sequence("top", "bottom")).alias("row_i"))
 
 
+_LINES = ("top", "bottom", "total_pixels")
+
+
+def _open(line: str, cfg: Chromatic) -> Column:
+    """The line's number unless it is a bar."""
+    return F.when(F.col("_dark") / F.col("_n") < cfg.letterbox_coverage, F.col(line))
+
+
+def _column_lines(pixels: DataFrame, frame: list[str], cfg: Chromatic, *held: Column) -> DataFrame:
+    """One row per frame and column inside the kept rows: pixels, near-black pixels, ``held`` aggregates, and
+    the frame's top, bottom and pixel count. A frame that is all bar keeps its rows, so it isn't lost."""
+    near = near_black(F.col("r"), F.col("g"), F.col("b"), cfg.letterbox_lstar_max).cast("int")
+    rows = pixels.groupBy(*frame, "row_i").agg(F.count(F.lit(1)).alias("_n"), F.sum(near).alias("_dark"))
+    rows = rows.groupBy(*frame).agg(
+        F.min(_open("row_i", cfg)).alias("top"), F.max(_open("row_i", cfg)).alias("bottom"), F.sum("_n").alias("total_pixels"), F.min("row_i").alias("_first"), F.max("row_i").alias("_last"))
+    kept = F.sequence(F.coalesce("top", "_first"), F.coalesce("bottom", "_last"))
+    inside = pixels.join(rows.select(*frame, *_LINES, F.explode(kept).alias("row_i")), [*frame, "row_i"])
+    return inside.groupBy(*frame, *_LINES, "col_i").agg(F.count(F.lit(1)).alias("_n"), F.sum(near).alias("_dark"), *held)
+
+
+def _seen(edge: Column) -> Column:
+    return F.when(F.col("top").isNotNull(), edge)
+
+
 def picture_bounds(pixels: DataFrame, frame: list[str], cfg: Chromatic = Chromatic()) -> DataFrame:
     """Rows and columns left after peeling near-black bars off each frame's border, with
     the frame's pixel count and the pixels inside the picture.
@@ -31,23 +55,41 @@ def picture_bounds(pixels: DataFrame, frame: list[str], cfg: Chromatic = Chromat
     Peeling stops at the first line that is not a bar, so an edge is the least (or
     greatest) such line. Columns are judged inside the kept rows. Frames that are all bar
     keep null bounds. Only sums per line are shuffled, and the pixel counts come from the
-    same sums.
+    same sums: pixels are read once for rows and once for columns.
     """
-    near = near_black(F.col("r"), F.col("g"), F.col("b"), cfg.letterbox_lstar_max).cast("int")
-
-    def lines(df: DataFrame, line: str) -> DataFrame:
-        sums = df.groupBy(*frame, line).agg(F.count(F.lit(1)).alias("_n"), F.sum(near).alias("_dark"))
-        return sums.withColumn("_open", F.when(F.col("_dark") / F.col("_n") < cfg.letterbox_coverage, F.col(line)))
-
-    rows = lines(pixels, "row_i").groupBy(*frame).agg(
-        F.min("_open").alias("top"), F.max("_open").alias("bottom"), F.sum("_n").alias("total_pixels"))
-    columns = lines(pixels.join(_kept_rows(rows, frame), [*frame, "row_i"]), "col_i")
+    columns = _column_lines(pixels, frame, cfg)
     # Columns are few, so their edges and the sum between them come from one small list.
     packed = F.collect_list(F.struct("col_i", "_n"))
-    edges = columns.groupBy(*frame).agg(F.min("_open").alias("left"), F.max("_open").alias("right"), packed.alias("_cols"))
+    edges = columns.groupBy(*frame, *_LINES).agg(
+        _seen(F.min(_open("col_i", cfg))).alias("left"), _seen(F.max(_open("col_i", cfg))).alias("right"), packed.alias("_cols"))
     held = F.aggregate("_cols", F.lit(0).cast("bigint"), lambda t, c: t + F.when(c["col_i"].between(F.col("left"), F.col("right")), c["_n"]).otherwise(F.lit(0)))
-    edges = edges.withColumn("kept_pixels", held).drop("_cols")
-    return rows.join(edges, frame, "left").fillna({"kept_pixels": 0})
+    return edges.select(*frame, *_LINES, "left", "right", held.alias("kept_pixels"))
+
+
+def framed_columns(pixels: DataFrame, frame: list[str], cfg: Chromatic = Chromatic()) -> DataFrame:
+    """One row per frame and column inside the kept rows, with the frame's bounds as in ``picture_bounds`` and the
+    colours of the column's pixels as a list, which the picture's height bounds.
+
+    Bounds, pixel counts (``frame_bounds``) and counted colours (``framed_colours``) all come from
+    this one table: pixels are read for rows and for columns, and not again. Edges are told to a frame's columns by a
+    window over the few columns of a frame.
+    """
+    whole = Window.partitionBy(*frame)
+    columns = _column_lines(pixels, frame, cfg, F.collect_list(F.struct("r", "g", "b")).alias("colours"))
+    columns = columns.withColumns({"left": _seen(F.min(_open("col_i", cfg)).over(whole)), "right": _seen(F.max(_open("col_i", cfg)).over(whole))})
+    inside = F.coalesce(F.col("col_i").between(F.col("left"), F.col("right")), F.lit(False))
+    columns = columns.withColumn("inside", inside)
+    return columns.withColumn("kept_pixels", F.sum(F.when(F.col("inside"), F.col("_n")).otherwise(0)).over(whole)).drop("_dark", "_n")
+
+
+def frame_bounds(columns: DataFrame, frame: list[str]) -> DataFrame:
+    """``picture_bounds`` from ``framed_columns``."""
+    return columns.select(*frame, *_LINES, "left", "right", "kept_pixels").distinct()
+
+
+def framed_colours(columns: DataFrame, key: str = "shot_id") -> DataFrame:
+    """Counted colours (``colour_counts``) of all pixels inside the picture, from ``framed_columns``."""
+    return colour_counts(columns.where("inside").select(key, F.explode("colours").alias("_c")).select(key, "_c.*"), key)
 
 
 def crop(pixels: DataFrame, bounds: DataFrame, frame: list[str]) -> DataFrame:
@@ -87,21 +129,35 @@ def colour_counts(pixels: DataFrame, key: str = "shot_id") -> DataFrame:
 
 
 def lightness(colours: DataFrame, key: str = "shot_id", cfg: Chromatic = Chromatic()) -> DataFrame:
-    """Lightness distribution over all pixels behind the counted ``colours`` of each shot."""
-    v, n = clip(F.col("lstar"), 0, 100), F.col("n")
-    picks = [Pick("p10_lstar", q=0.1), Pick("p50_lstar"), Pick("p90_lstar", q=0.9)]
-    tones = colours.withColumn("_tone", v)
-    marks = grouped_quantiles(tones, [key], "_tone", picks, "n").drop("n")
-    tone = F.col("_tone")
+    """Lightness distribution over all pixels behind the counted ``colours`` of each shot.
+
+    The tones of a shot are run through in order with the pixels before each, so ranks and sums come from one
+    shuffle. A shot has at most the 2^24 colours of 8-bit pixels, and the sort may spill.
+    """
+    shot = Window.partitionBy(key)
+    tone, n, total, after = F.col("_tone"), F.col("n"), F.col("_total"), F.col("_after")
+    tones = colours.select(key, "n", clip(F.col("lstar"), 0, 100).alias("_tone")).withColumns({
+        "_after": F.sum("n").over(shot.orderBy("_tone").rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("n").over(shot)})
+    marks = {}
+    for name, q in (("p10_lstar", 0.1), ("p50_lstar", 0.5), ("p90_lstar", 0.9)):
+        at = dbl(q) * (total - 1)
+        for side, rank in (("_low", F.floor(at)), ("_high", F.ceil(at))):
+            marks[name + side] = F.max(F.when((after - n <= rank) & (rank < after), tone)).alias(name + side)
+        marks[name + "_part"] = F.max(at - F.floor(at)).alias(name + "_part")
     sums = tones.groupBy(key).agg(
         F.sum("n").alias("_n"), F.sum(tone * n).alias("_s"), F.sum(tone * tone * n).alias("_q"),
-        F.sum(F.when(tone < cfg.shadow_lstar, n).otherwise(0)).alias("_dark"), F.sum(F.when(tone > cfg.highlight_lstar, n).otherwise(0)).alias("_bright"))
+        F.sum(F.when(tone < cfg.shadow_lstar, n).otherwise(0)).alias("_dark"), F.sum(F.when(tone > cfg.highlight_lstar, n).otherwise(0)).alias("_bright"), *marks.values())
     mean = F.col("_s") / F.col("_n")
     spread = F.col("_q") / F.col("_n") - mean * mean
     # Equal tones leave a rest of rounding; one odd pixel in a billion would leave more.
     spread = F.when(spread > dbl(1e-10), F.sqrt(spread)).otherwise(dbl(0))
-    return sums.join(marks, key).select(
-        key, mean.alias("mean_lstar"), spread.alias("stddev_lstar"), "p10_lstar", "p50_lstar", "p90_lstar",
+
+    def mark(name: str) -> Column:
+        low, high = F.col(name + "_low"), F.col(name + "_high")
+        return (low + F.col(name + "_part") * (high - low)).alias(name)
+
+    return sums.select(
+        key, mean.alias("mean_lstar"), spread.alias("stddev_lstar"), mark("p10_lstar"), mark("p50_lstar"), mark("p90_lstar"),
         (F.col("_dark") / F.col("_n")).alias("shadow_ratio"), (F.col("_bright") / F.col("_n")).alias("highlight_ratio"))
 
 
@@ -270,12 +326,13 @@ def shot_colour(pixels: DataFrame, frame: list[str], shots: DataFrame, cfg: Chro
 
     ``pixels``: key, frame columns, row_i, col_i, r, g, b. ``shots``: key and requested_frames, one row a
     shot. A shot without pixels keeps its row with a status; values and swatches are given only under
-    status OK. All pixels inside the picture count.
+    status OK. All pixels inside the picture count. What bounds, lightness and palette share, the columns of each
+    frame with their colours, is stored once in the session's work folder.
     """
-    bounds = picture_bounds(pixels, frame, cfg)
-    counts = shots.select(key, "requested_frames").join(usable_pixels(bounds, key), key, "left").fillna(
+    columns = stored(framed_columns(pixels, frame, cfg))
+    counts = shots.select(key, "requested_frames").join(usable_pixels(frame_bounds(columns, frame), key), key, "left").fillna(
         {"kept_pixels": 0, "total_pixels": 0, "decoded_frames": 0})
-    colours = colour_counts(crop(pixels, bounds, frame), key)
+    colours = framed_colours(columns, key)
     swatches = palette(colours, key, cfg)
     light = lightness(colours, key, cfg)
     held = swatches.groupBy(key).agg(F.count(F.lit(1)).alias("swatches"))

@@ -17,6 +17,7 @@ PILLAR_KIND = {
     "audio": "Measured", "tension": "Measured", "critic": "Interpreted",
 }
 MEASURES = ("chromatic", "spatial", "temporal")
+SHOT_IDS = ("incoming_boundary_id", "outgoing_boundary_id", "representative_sample_id")
 
 
 def envelope(status: Column, value: Column, confidence: Column, reason: Column, fallback: str,
@@ -44,14 +45,15 @@ def assemble(shots: DataFrame, chromatic: DataFrame, spatial: DataFrame, tempora
     """One row per clip: its shots in order, each with three envelopes.
 
     Measurements are left-joined so a shot is never lost; ``missing`` counts the shots
-    without one of them and is a contract error when above zero.
+    without one of them and is a contract error when above zero. The ids of boundaries and of the representative
+    sample come along where ``shots`` has them.
     """
     key = ["clip_id", "shot_index"]
-    df = shots
+    df = shots.withColumns({c: F.lit(None).cast("string") for c in SHOT_IDS if c not in shots.columns})
     for name, m in zip(MEASURES, (chromatic, spatial, temporal)):
         df = df.join(m.select(*key, F.col("measure").alias(name)), key, "left")
     gap = sum((F.col(m).isNull().cast("int") for m in MEASURES), F.lit(0))
-    item = F.struct("shot_index", "shot_id", "start_ms", "end_ms", *MEASURES)
+    item = F.struct("shot_index", "shot_id", "start_ms", "end_ms", *SHOT_IDS, *MEASURES)
     return df.groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("shot_count"), F.sum(gap).alias("missing"), F.array_sort(F.collect_list(item)).alias("shots"))
 
@@ -60,21 +62,21 @@ def report_documents(reports: DataFrame, heads: DataFrame, config: AnalysisConfi
     """JSON text of each report with every field of the fixed schema present.
 
     ``heads``: clip_id, analysis_id, generated_at and the structs video, availability and
-    summary, one row per clip.
+    summary, one row per clip; timeline_artifact and critique, where it has them, are told too.
     """
+    heads = heads.withColumns({c: F.lit(None).cast("string") for c in ("timeline_artifact", "critique") if c not in heads.columns})
+
     def analysis(s: Column) -> Column:
-        gone = F.lit(None).cast("string")
         shot = F.struct(
             s["shot_id"].alias("shot_id"), s["shot_index"].alias("index"),
-            F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms")).alias("time_range"),
-            gone.alias("incoming_boundary_id"), gone.alias("outgoing_boundary_id"), gone.alias("representative_sample_id"))
+            F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms")).alias("time_range"), *[s[c].alias(c) for c in SHOT_IDS])
         return F.struct(shot.alias("shot"), *[s[m].alias(m) for m in MEASURES])
 
     whole = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"), "analysis_id", "video", "generated_at",
         F.lit(config.pipeline_version).alias("pipeline_version"), F.lit(config.hash()).alias("configuration_hash"),
         "availability", "summary", F.transform("shots", analysis).alias("shots"),
-        F.lit(None).cast("string").alias("timeline_artifact"), F.lit(None).cast("string").alias("critique"))
+        "timeline_artifact", "critique")
     return reports.join(heads, "clip_id").select("analysis_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("doc"))
 
 

@@ -100,8 +100,20 @@ def jn03(v):
     return out.select("clip_id", "at_ms", r6(F.col("cut_activity")).alias("cut_activity"))
 
 
-@query("jn04_motion_at_hop",
-       f"SELECT clip_id, at_ms, shot_index, {q6('global_raw', 'global_raw')}, {q6('residual_raw', 'residual_raw')} FROM v_motion_at")
+# One pass over sorted cuts a clip in place of the recursive view, and nearest pairs by two as-of joins.
+@query("jn04_motion_at_hop", f"""
+WITH folded AS (SELECT c.clip_id, list_reduce([[0::BIGINT]] || coalesce(list_transform(ps, lambda x: [x]), []), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 10000 THEN a || x ELSE a END) ks
+  FROM v_clips c LEFT JOIN (SELECT clip_id, list(position_ms ORDER BY position_ms) ps FROM v_cuts GROUP BY 1) p ON p.clip_id=c.clip_id),
+starts AS (SELECT clip_id, unnest(ks) start_ms, unnest(range(0, len(ks))) shot_index FROM (SELECT clip_id, CASE WHEN len(ks) > 1 AND 259200 - ks[len(ks)] < 10000 THEN ks[:len(ks)-1] ELSE ks END ks FROM folded)),
+p AS (SELECT p.clip_id, p.at_ms, s.shot_index FROM v_points p ASOF JOIN starts s ON p.clip_id=s.clip_id AND p.at_ms >= s.start_ms),
+c AS (SELECT f.clip_id, s.shot_index, f.at_ms, f.ord, f.global_magnitude g, f.residual_median r FROM v_flow_pairs f ASOF JOIN starts s ON f.clip_id=s.clip_id AND f.at_ms >= s.start_ms WHERE NOT f.flagged AND f.at_ms < 259200),
+i AS (SELECT clip_id, shot_index, at_ms//500*500 at_ms, avg(g) g, avg(r) r FROM c GROUP BY ALL),
+o AS (SELECT clip_id, shot_index, at_ms, arg_min(g, ord) g, arg_min(r, ord) r FROM c GROUP BY 1, 2, 3),
+b AS (SELECT p.*, o.at_ms back, o.g bg, o.r br FROM p ASOF LEFT JOIN o ON o.clip_id=p.clip_id AND o.shot_index=p.shot_index AND p.at_ms >= o.at_ms),
+n AS (SELECT b.*, o.at_ms ahead, o.g ag, o.r ar FROM b ASOF LEFT JOIN o ON o.clip_id=b.clip_id AND o.shot_index=b.shot_index AND b.at_ms <= o.at_ms),
+m AS (SELECT *, back IS NOT NULL AND (ahead IS NULL OR at_ms - back <= ahead - at_ms) AS behind FROM n)
+SELECT m.clip_id, m.at_ms, m.shot_index, {q6('coalesce(i.g, CASE WHEN behind THEN bg ELSE ag END, 0)', 'global_raw')}, {q6('coalesce(i.r, CASE WHEN behind THEN br ELSE ar END, 0)', 'residual_raw')}
+FROM m LEFT JOIN i ON i.clip_id=m.clip_id AND i.shot_index=m.shot_index AND i.at_ms=m.at_ms""")
 def jn04(v):
     out = T.motion_at(_points(v), v.calm_series(), HOP)
     return out.select("clip_id", "at_ms", "shot_index", r6(F.col("global_raw")).alias("global_raw"),

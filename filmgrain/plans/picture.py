@@ -84,7 +84,7 @@ add_views({
 _CFG = Spatial()
 
 
-def _with_floor():
+def with_floor():
     """Track floor lowered to 0.2 so both outcomes occur on the driver tables."""
     from dataclasses import replace
     return replace(_CFG, framing_rules=replace(_CFG.framing_rules, min_track_coverage=0.2))
@@ -139,8 +139,7 @@ def wn09(v):
 
 def kept_colours(v: Views):
     """Counted colours of all pixels inside the picture of each shot."""
-    px = v.pixels()
-    return C.colour_counts(C.crop(px, C.picture_bounds(px, SHOT), SHOT))
+    return C.framed_colours(C.framed_columns(v.pixels(), SHOT))
 
 
 _L = ("mean_lstar", "stddev_lstar", "p10_lstar", "p50_lstar", "p90_lstar", "shadow_ratio", "highlight_ratio")
@@ -260,7 +259,7 @@ add_views({
 })
 
 
-def _rank_sql(source: str, share: str) -> str:
+def rank_sql(source: str, share: str) -> str:
     return f"""
 WITH t AS (SELECT *, sum(n) OVER (PARTITION BY shot_id) total, row_number() OVER (PARTITION BY shot_id ORDER BY n DESC, hex) k FROM {source}),
 kept AS (SELECT shot_id, hex, n FROM t WHERE n >= greatest(1, floor({share}::DOUBLE*total)) OR k=1),
@@ -292,7 +291,7 @@ def ag16(v):
     return out.select("shot_id", "hex", "n", r6(F.col("lstar")).alias("lstar"))
 
 
-@query("ag17_rank_swatches", _rank_sql("v_hex", "0.07"))
+@query("ag17_rank_swatches", rank_sql("v_hex", "0.07"))
 def ag17(v):
     sw = _hexes(v).groupBy("shot_id", "hex").agg(F.count(F.lit(1)).alias("n"))
     return C.rank_swatches(sw, "shot_id", 0.07).select("shot_id", "hex", "n", F.col("rank").cast("bigint").alias("rank"), r6(F.col("proportion")).alias("proportion"))
@@ -321,7 +320,7 @@ def shot_colour_values(v):
     return values.select("shot_id", r6(F.col("usable_pixel_ratio")).alias("usable_pixel_ratio"), "status", "reason_code", *[r6(F.col(c)).alias(c) for c in _L])
 
 
-@query("shot_palette", _rank_sql("v_hex_good", "0.02"))
+@query("shot_palette", rank_sql("v_hex_good", "0.02"))
 def shot_palette(v):
     """Whole colour chain per shot: crop, count, cluster, merge and rank."""
     _, sw = _colour(v)
@@ -375,25 +374,28 @@ def ag07(v):
 
 @query("ag08_primary_track", f"SELECT shot_id, track_id, {q6('coverage', 'coverage')}, {q6('score', 'score')} FROM v_primary")
 def ag08(v):
-    return X.primary_tracks(_obs(v), _counts(v), _with_floor()).select("shot_id", "track_id", r6(F.col("coverage")).alias("coverage"), r6(F.col("score")).alias("score"))
+    return X.primary_tracks(_obs(v), _counts(v), with_floor()).select("shot_id", "track_id", r6(F.col("coverage")).alias("coverage"), r6(F.col("score")).alias("score"))
 
 
 @query("tk05_rank_one_track", "SELECT shot_id, track_id FROM v_primary")
 def tk05(v):
-    return X.primary_tracks(_obs(v), _counts(v), _with_floor()).select("shot_id", "track_id")
+    return X.primary_tracks(_obs(v), _counts(v), with_floor()).select("shot_id", "track_id")
 
 
 _V = ("subject_coverage_ratio_median", "subject_height_ratio_median", "thirds_proximity_score", "thirds_proximity_p10", "center_proximity_score")
 
 
-@query("ag09_spatial_values", f"""
+VALUES = f"""
 WITH t AS (SELECT o.*, exp(-({_NEAR}/0.18::DOUBLE)*({_NEAR}/0.18::DOUBLE)) th, exp(-({_d2(0.5, 0.5)}/0.18::DOUBLE)*({_d2(0.5, 0.5)}/0.18::DOUBLE)) ce
  FROM v_obs o JOIN v_primary p ON p.shot_id=o.shot_id AND p.track_id=o.track_id),
 m AS (SELECT shot_id, track_id, median(area) a, median(h) h, median(th) t, list_sort(list(th)) ts, median(ce) c FROM t GROUP BY 1, 2)
 SELECT m.shot_id, m.track_id primary_track_id, {q6('a', _V[0])}, {q6('h', _V[1])}, {q6('t', _V[2])}, {q6('ts[CAST(floor(0.1::DOUBLE*(len(ts)-1)) AS BIGINT)+1]', _V[3])}, {q6('c', _V[4])},
- f.framing, {q6('f.framing_confidence', 'framing_confidence')} FROM m JOIN v_fconf f ON f.shot_id=m.shot_id AND f.track_id=m.track_id""")
+ f.framing, {q6('f.framing_confidence', 'framing_confidence')} FROM m JOIN v_fconf f ON f.shot_id=m.shot_id AND f.track_id=m.track_id"""
+
+
+@query("ag09_spatial_values", VALUES)
 def ag09(v):
-    obs, cfg = _obs(v), _with_floor()
+    obs, cfg = _obs(v), with_floor()
     out = X.spatial_values(obs, _counts(v), cfg)
     return out.select("shot_id", "primary_track_id", *[r6(F.col(c)).alias(c) for c in _V], "framing", r6(F.col("framing_confidence")).alias("framing_confidence"))
 
@@ -414,7 +416,7 @@ _IW = "greatest(0, least(boxes[t].x1, hs[i].x1)-greatest(boxes[t].x0, hs[i].x0))
 _IOU = (f"({_IW})/((boxes[t].x1-boxes[t].x0)*(boxes[t].y1-boxes[t].y0)+(hs[i].x1-hs[i].x0)*(hs[i].y1-hs[i].y0)-{_IW})")
 
 
-@query("wn21_track_subjects", f"""
+TRACKS = f"""
 WITH b AS (SELECT shot_id, sample_ord, list({{'h': hit_ord, 'x0': x_min, 'y0': y_min, 'x1': x_max, 'y1': y_max}} ORDER BY hit_ord) hs FROM v_boxes
   WHERE class_name='person' AND confidence >= 0.35 GROUP BY 1, 2),
 h AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY sample_ord) k FROM b),
@@ -432,7 +434,10 @@ r(shot_id, k, boxes, got) AS (
   FROM (SELECT r.shot_id, h.k, r.boxes, h.hs FROM r JOIN h ON h.shot_id=r.shot_id AND h.k=r.k+1)))),
 u AS (SELECT shot_id, k, unnest(got) g FROM r)
 SELECT u.shot_id, h.sample_ord, u.g.h hit_ord, 't' || lpad(CAST(u.g.t AS VARCHAR), 4, '0') track_id, {q6('d.cx', 'centroid_x')}, {q6('d.cy', 'centroid_y')} FROM u JOIN h ON h.shot_id=u.shot_id AND h.k=u.k
-JOIN v_boxes d ON d.shot_id=u.shot_id AND d.sample_ord=h.sample_ord AND d.hit_ord=u.g.h""")
+JOIN v_boxes d ON d.shot_id=u.shot_id AND d.sample_ord=h.sample_ord AND d.hit_ord=u.g.h"""
+
+
+@query("wn21_track_subjects", TRACKS)
 def wn21(v):
     out = X.track_subjects(v.detections())
     return out.select("shot_id", "sample_ord", "hit_ord", "track_id", r6(F.col("centroid_x")).alias("centroid_x"), r6(F.col("centroid_y")).alias("centroid_y"))

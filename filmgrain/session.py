@@ -6,8 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
@@ -49,6 +50,14 @@ def work_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the work folder and read back: what several branches read is worked out once, and
+    lost executors don't bring it back to its beginnings."""
+    path = f"{work_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so workers started elsewhere can import it."""
     root = os.path.dirname(os.path.abspath(__file__))
