@@ -123,20 +123,34 @@ def _met(anchors: DataFrame, blocks: DataFrame, alike: bool) -> DataFrame:
     return copied.join(shots, "slot").where((F.col("dims") == F.col("shot_dims")) & (same if alike else ~same))
 
 
-def _scored(pairs: DataFrame, choose, schema: str) -> DataFrame:
-    """What ``choose(row, anchor number, anchor id, scores, shot ids)`` gives for each anchor and block of shots."""
+def _best_of(columns: list[np.ndarray], group: int, k: int) -> list[np.ndarray]:
+    """The first ``k`` rows of each group (the first ``group`` columns) by the last column, highest first, ties to the smaller id after the group."""
+    order = np.lexsort((columns[group], -columns[-1], *columns[:group][::-1]))
+    columns = [c[order] for c in columns]
+    opens = np.ones(len(order), bool)
+    opens[1:] = np.logical_or.reduce([np.diff(c) != 0 for c in columns[:group]])
+    at = np.flatnonzero(opens)
+    rank = np.arange(len(order)) - np.repeat(at, np.diff([*at, len(order)]))
+    return [c[rank < k] for c in columns]
+
+
+def _scored(pairs: DataFrame, choose, schema: str, group: int, k: int) -> DataFrame:
+    """What ``choose(row, anchor number, anchor id, scores, shot ids)`` gives for each anchor and block of shots; of the blocks
+    that one batch brings together only the first ``k`` rows a group go on."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 ids = np.array(row["shot_ids"], np.int64)
                 packed = PackedShots(_unpacked(row["shot_data"], len(ids), row["dims"]), row["most"])
-                found = [part for n, (anchor, whole) in enumerate(zip(row["ids"], _unpacked(row["data"], row["n"], row["dims"]).tolist()))
-                         for part in choose(row, n, anchor, packed.scores(whole), ids)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names)
+                found += [part for n, (anchor, whole) in enumerate(zip(row["ids"], _unpacked(row["data"], row["n"], row["dims"]).tolist()))
+                          for part in choose(row, n, anchor, packed.scores(whole), ids)]
+            if found:
+                best = _best_of([np.concatenate(c) for c in zip(*found)], group, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best], names)
 
     return pairs.mapInArrow(run, schema)
 
@@ -174,7 +188,7 @@ def mine_hard_negatives(shots: DataFrame, anchors: DataFrame, positives: int = P
         return [(np.full(len(best), anchor), ids[best], scores[best])]
 
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
-    near = _scored(_met(_blocks(asked, anchor_block), blocks, True), alike, "anchor_id bigint, positive_id bigint, positive_score bigint")
+    near = _scored(_met(_blocks(asked, anchor_block), blocks, True), alike, "anchor_id bigint, positive_id bigint, positive_score bigint", 1, positives)
     near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives)
     near = stored(near.groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("near")))
 
@@ -192,7 +206,7 @@ def mine_hard_negatives(shots: DataFrame, anchors: DataFrame, positives: int = P
             out.append((np.full(size, anchor), np.full(size, p["positive_id"]), ids[best], np.full(size, p["positive_score"]), scores[best]))
         return out
 
-    found = _scored(_met(mined, blocks, False), unlike, "anchor_id bigint, positive_id bigint, negative_id bigint, positive_score bigint, negative_score bigint")
+    found = _scored(_met(mined, blocks, False), unlike, "anchor_id bigint, positive_id bigint, negative_id bigint, positive_score bigint, negative_score bigint", 2, negatives)
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
