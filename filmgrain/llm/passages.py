@@ -143,8 +143,10 @@ def repeated_pieces(critiques: DataFrame, size: int = WORDS, anchor: int = ANCHO
     places = stored(runs.join(shared, "key").select("key", "piece", "critique_run_id", "first", "count"))
     at = F.min(F.struct("critique_run_id", "first", "count")).alias("at")
     sources = stored(places.groupBy("key", "piece").agg(at, F.max("critique_run_id").alias("last_id")).select("key", "piece", "at.*", "last_id"))
+    # Stored before the join, so a hot key's pieces come from an exchange that the skew join may split.
     keys = sources.groupBy("key").agg(F.count(F.lit(1)).alias("variants"), F.min("critique_run_id").alias("low"), F.max("last_id").alias("high")).where("low < high")
-    sources = sources.join(keys.select("key", (F.col("variants") > 1).alias("branched")), "key")
+    keys = stored(keys.select("key", (F.col("variants") > 1).alias("branched")))
+    sources = sources.join(keys, "key")
     pieces = stored(_read_at_source(critiques, sources, size))
 
     # A key with one piece is a path already. Where a key has several, their windows are edges from node to node.
