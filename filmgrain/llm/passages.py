@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmgrain.llm.batches import _BASE, _INVERSE, _powers, list_column, mix, slices, span_hashes, text_bytes, word_spans
@@ -171,16 +172,35 @@ def repeated_pieces(critiques: DataFrame, size: int = WORDS, anchor: int = ANCHO
     return places, stored(whole.union(part.select("key", "piece", "digest", "ranges")))
 
 
-def _long_spans(found: list[tuple[int, int, object, int, int]]) -> list[tuple[int, int, object, int]]:
-    """(start, windows, source, source start) of maximal spans: ranges join where the same path goes on."""
-    out: list[list] = []
-    for start, count, source, path, offset in sorted(found, key=lambda r: r[0]):
-        last = out[-1] if out else None
-        if last and last[2] == source and last[3] == path and start - offset == last[0] - last[4] and start <= last[0] + last[1]:
-            last[1] = max(last[1], start + count - last[0])
-        else:
-            out.append([start, count, source, path, offset])
-    return [(start, count, source, path + offset) for start, count, source, path, offset in out]
+def _verified(texts: list[list[bytes]], found: pa.ListArray, size: int) -> tuple[np.ndarray, ...]:
+    """(text, start, count, source code, path, offset, sources) of the ranges whose piece says in its text what the source says."""
+    home = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    places = pa.RecordBatch.from_struct_array(found.flatten())
+    first, end = (places.column(c).to_numpy().astype(np.int64) for c in ("first", "count"))
+    end = first + end + size - 1
+    true = np.fromiter((b <= len(texts[h]) and _digest(texts[h][a:b]) == d for h, a, b, d in zip(home.tolist(), first.tolist(), end.tolist(), places.column("digest").to_pylist())), bool, len(home))
+    place = np.repeat(np.arange(len(home)), pc.list_value_length(places.column("ranges")).to_numpy())
+    ranges = pa.RecordBatch.from_struct_array(places.column("ranges").flatten())
+    low, count, path, offset = (ranges.column(c).to_numpy().astype(np.int64) for c in ("low", "count", "path", "offset"))
+    source = ranges.column("source_id").dictionary_encode()
+    kept = true[place]
+    place = place[kept]
+    return home[place], first[place] + low[kept], count[kept], source.indices.to_numpy().astype(np.int64)[kept], path[kept], offset[kept], source.dictionary
+
+
+def long_spans(text: np.ndarray, start: np.ndarray, count: np.ndarray, source: np.ndarray, path: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, source, source start) of maximal spans, by text and start: ranges join where the same path goes on."""
+    order = np.lexsort((start, text))
+    text, start, count, source, path, offset = (x[order] for x in (text, start, count, source, path, offset))
+    far = text * (int((start + count).max(initial=0)) + 1)
+    reach = np.maximum.accumulate(far + start + count)
+    opens = np.ones(len(text), bool)
+    opens[1:] = (far + start)[1:] > reach[:-1]
+    for x in (text, source, path, start - offset):
+        opens[1:] |= np.diff(x) != 0
+    at = np.flatnonzero(opens)
+    end = np.maximum.reduceat(start + count, at) if len(at) else np.zeros(0, np.int64)
+    return text[at], start[at], end - start[at], source[at], (path + offset)[at]
 
 
 def keep_first_passages(critiques: DataFrame, words: int = WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -215,26 +235,19 @@ def keep_first_passages(critiques: DataFrame, words: int = WORDS, anchor_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n_words, n_removed, spans, kept = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found")):
-                said = (text or "").encode().split()
-                gone, ranges = np.zeros(len(said) + 1, np.int64), []
-                for p in found.as_py() or ():
-                    first = p["first"]
-                    end = first + p["count"] + words - 1
-                    if end <= len(said) and _digest(said[first:end]) == p["digest"]:
-                        ranges += [(first + r["low"], r["count"], r["source_id"], r["path"], r["offset"]) for r in p["ranges"]]
-                long = _long_spans(ranges)
-                for start, count, _, _ in long:
-                    gone[start] += 1
-                    gone[start + count + words - 1] -= 1
-                stays = np.cumsum(gone)[:-1] == 0
-                n_words.append(len(said))
-                n_removed.append(int((~stays).sum()))
-                spans.append([{"start": s, "words": n + words - 1, "source_id": source, "source_start": at} for s, n, source, at in long])
-                kept.append(b" ".join(w for w, s in zip(said, stays.tolist()) if s).decode() if long else b" ".join(said).decode())
-            of_span = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source_id", batch.column("critique_run_id").type), ("source_start", pa.int64())])
-            yield pa.RecordBatch.from_arrays([batch.column("critique_run_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(of_span)), pa.array(kept, pa.string())],
+            said = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
+            *ranges, sources = _verified(said, batch.column("found"), words)
+            text, start, count, source, source_start = long_spans(*ranges)
+            base = np.cumsum([0, *map(len, said)])
+            gone = np.zeros(base[-1] + 1, np.int64)
+            np.add.at(gone, base[text] + start, 1)
+            np.add.at(gone, base[text] + start + count + words - 1, -1)
+            stays = np.cumsum(gone)[:-1] == 0
+            n_removed = [int(b - a - stays[a:b].sum()) for a, b in zip(base[:-1], base[1:])]
+            kept = [b" ".join([w for w, s in zip(t, stays[a:a + len(t)].tolist()) if s] if n else t).decode() for t, a, n in zip(said, base, n_removed)]
+            spans = pa.StructArray.from_arrays([pa.array(start), pa.array(count + words - 1), sources.take(pa.array(source)), pa.array(source_start)], ["start", "words", "source_id", "source_start"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([batch.column("critique_run_id"), pa.array(np.diff(base)), pa.array(n_removed, pa.int64()), spans, pa.array(kept, pa.string())],
                                              ["critique_run_id", "n_words", "n_removed", "spans", "kept"])
 
     return critiques.join(found, "critique_run_id", "left").select("critique_run_id", "text", "found").mapInArrow(
