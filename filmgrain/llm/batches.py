@@ -113,6 +113,20 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.
     return out
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores in front as it takes to be none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def passed_on(carry: tuple[str, ...], made: tuple[str, ...]) -> list[str]:
+    """The columns of ``carry`` once each, without those that an operator makes itself."""
+    taken = {c.lower() for c in made}
+    return [c for c in dict.fromkeys(carry) if c.lower() not in taken]
+
+
 def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
     offsets = np.zeros(len(parts) + 1, np.int32)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmgrain.llm.batches import list_column, lowered, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
+from filmgrain.llm.batches import free_name, list_column, lowered, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from filmgrain.llm.shared import connected, stored
 
 WORDS = 5
@@ -211,16 +211,17 @@ def link_near_copies(critiques: DataFrame, words: int = WORDS, percent: int = PE
 
 
 def keep_first_copies(critiques: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
-    """``critiques`` with one row of each group of near copies (the smallest id), all columns kept.
+    """``critiques`` with one row of each group of near copies (the smallest id), all columns kept, whatever their names.
 
     ``percent``: the similarity from which texts are copies; ``matches``: collisions a pair needs to be
     compared, to be lowered with ``percent``.
     Rows without words, and rows of a group that has null ids only, all stay. Of rows that repeat both id and text
     one stays. Cases and method are those of ``link_near_copies``.
     """
-    kept = stored(link_near_copies(critiques, percent=percent, matches=matches).where("kept").groupBy(F.col("critique_run_id").alias("_id")).agg(
-        F.sum((F.col("n_shingles") > 0).cast("int")).alias("_rows")))
-    first = critiques.join(kept.select("_id"), F.col("critique_run_id").eqNullSafe(F.col("_id")), "left_semi")
-    if kept.where("_rows > 1 and _id is not null").limit(1).count():
+    own, rows = free_name("_id", critiques.columns), free_name("_rows", critiques.columns)
+    kept = stored(link_near_copies(critiques, percent=percent, matches=matches).where("kept").groupBy(F.col("critique_run_id").alias(own)).agg(
+        F.sum((F.col("n_shingles") > 0).cast("int")).alias(rows)))
+    first = critiques.join(kept.select(own), F.col("critique_run_id").eqNullSafe(F.col(own)), "left_semi")
+    if kept.where((F.col(rows) > 1) & F.col(own).isNotNull()).limit(1).count():
         first = first.dropDuplicates(["critique_run_id", "text"])
     return first

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmgrain.llm.batches import lowered, shingle_hashes, slices, span_hashes, text_bytes, word_spans
+from filmgrain.llm.batches import lowered, passed_on, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from filmgrain.llm.shared import hash_sample, stored
 
 SAMPLE = 20_000
@@ -379,10 +379,10 @@ def score_toxicity(critiques: DataFrame, model: ToxicityModel, carry: tuple[str,
     to 1. predicted is 1 from 0.5 on.
 
     Nothing is shuffled; the model travels with the task and is bounded by its ``max_terms``.
-    Null and empty texts have no hits and get the score of a text without any. Repeated rows and null ids each get a row. Columns named in ``carry``
-    pass through.
+    Null and empty texts have no hits and get the score of a text without any. Repeated rows and null ids each get a row; no critiques give no rows. Columns named in ``carry``
+    pass through; one named like a column of the result is replaced by it.
     """
-    names = ["critique_run_id", *carry]
+    names = ["critique_run_id", *passed_on(carry, ("critique_run_id", "score", "predicted", "n_terms"))]
     ddl = critiques.select(*names).schema.toDDL()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,18 @@ def test_bit_parallel_distance(item, text):
     assert leaks.distance_within(item, text) == least_distance(item, text)
 
 
+def stands(item, text):
+    """Whether item occurs somewhere without beginning or ending inside a word."""
+    inside = lambda a, b: a.isalnum() and b.isalnum()
+    return any(text[i:i + len(item)] == item and not (i and inside(text[i - 1], item[0])) and not (text[i + len(item):] and inside(item[-1], text[i + len(item)])) for i in range(len(text)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab -", min_size=1, max_size=11), st.text("ab -", max_size=60))
+def test_short_items_are_found_between_word_ends(item, text):
+    assert leaks.Searcher([(1, item)], 5).find(text) == ({1: 0} if stands(item, text) else {})
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab ", min_size=12, max_size=40), st.text("ab ", max_size=150), st.integers(0, 20))
 def test_search_misses_nothing(item, text, percent):
@@ -46,9 +58,9 @@ def edited(rng, text, edits):
 @pytest.mark.parametrize("block", [8 << 20, 150])
 def test_equals_brute_force(spark, block):
     rng = random.Random(6)
-    items = [(i, prose(rng, 12)) for i in range(6)] + [(6, "Short  ITEM here"), (7, None), (8, "tiny"), (None, prose(rng, 9)), (1, "one more text of item one")]
+    items = [(i, prose(rng, 12)) for i in range(6)] + [(6, "Short  ITEM here"), (7, None), (8, "tiny"), (9, "Forty  two"), (10, " "), (11, "x"), (None, prose(rng, 9)), (1, "one more text of item one")]
     texts = [(i, t) for i, t in awkward(rng)[:-1]]
-    texts += [(100 + n, prose(rng, 20) + "\n " + edited(rng, items[n % 6][1], n // 2).upper() + " " + prose(rng, 5)) for n in range(24)] + [(200, "a short item\nhere"), (None, items[1][1])]
+    texts += [(100 + n, prose(rng, 20) + "\n " + edited(rng, items[n % 6][1], n // 2).upper() + " " + prose(rng, 5)) for n in range(24)] + [(200, "a short item\nhere"), (201, "say forty\ttwo, Tiny!"), (202, "forty twos, destiny, ax"), (203, "(X)"), (None, items[1][1])]
     critiques = spark.createDataFrame([(i, t, 4) for i, t in texts], "critique_run_id bigint, text string, found int")
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     got = leaks.find_leaks(critiques, benchmark, block_chars=block, carry=("found",)).collect()
@@ -57,7 +69,11 @@ def test_equals_brute_force(spark, block):
         near = {}
         for key, item in items:
             item = leaks.plain(item)
-            if key is not None and len(item) >= leaks.MIN_CHARS and (d := least_distance(item, leaks.plain(t))) <= len(item) * leaks.PERCENT // 100:
+            if key is None or not item:
+                continue
+            if len(item) < leaks.WORD_CHARS:
+                near |= {key: 0} if stands(item, leaks.plain(t)) else {}
+            elif (d := least_distance(item, leaks.plain(t))) <= len(item) * leaks.PERCENT // 100:
                 near[key] = min(d, near.get(key, d))
         want.append((i, 4, sorted(near), min(near.values(), default=None), bool(near)))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
