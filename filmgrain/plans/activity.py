@@ -72,14 +72,14 @@ add_views({
 
 
 def _points(v: Views):
-    return S.assign_shots(T.hop_starts(v.clips(), HOP), v.shots(), fallback=False)
+    return S.assign_shots(T.hop_starts(v.clips(), HOP), v.shots_once(), fallback=False)
 
 
 def _timeline(v: Views):
     clips = v.clips().withColumns({
         "audio_reason": F.when(~F.col("audio_available"), F.lit(T.NO_AUDIO)),
         "extra_warnings": F.when(F.pmod("clip_id", F.lit(5)) == 0, F.array(F.lit("cut_like_flow_discontinuity"))).otherwise(F.array().cast("array<string>"))})
-    return T.build_timeline(clips, v.shots(), v.calm_series(), v.audio())
+    return T.build_timeline(clips, v.shots_once(), v.calm_series(), v.audio())
 
 
 def _simple(v: Views):
@@ -141,7 +141,7 @@ def wn13(v):
 @query("wn14_activities",
        f"SELECT clip_id, at_ms, {q6('audio_activity', 'audio_activity')}, {q6('motion_activity', 'motion_activity')} FROM v_acts")
 def wn14(v):
-    points = S.assign_shots(T.hop_starts(v.clips(), HOP, ("audio_available", "motion_available")), v.shots(), fallback=False)
+    points = S.assign_shots(T.hop_starts(v.clips(), HOP, ("audio_available", "motion_available")), v.shots_once(), fallback=False)
     out = T.activities(T.audio_at(T.motion_at(points, v.calm_series(), HOP), v.audio()))
     return out.select("clip_id", "at_ms", r6(F.col("audio_activity")).alias("audio_activity"),
                       r6(F.col("motion_activity")).alias("motion_activity"))

@@ -51,7 +51,7 @@ add_views({
 
 
 def _targets(v: Views):
-    shots = S.with_shot_ids(v.shots())
+    shots = S.with_shot_ids(v.shots_once())
     return P.sample_targets(shots, F.lit(FRAME_MS).cast("bigint"))
 
 
@@ -114,7 +114,7 @@ SELECT s.clip_id, s.shot_index, r.sample_id representative_sample_id FROM v_shot
 (SELECT clip_id, shot_index, arg_max(sample_id, ord) sample_id FROM v_plan WHERE list_contains(ranks, 3) GROUP BY 1, 2) r
 ON r.clip_id=s.clip_id AND r.shot_index=s.shot_index""")
 def jn10(v):
-    return P.representatives(S.with_shot_ids(v.shots()), _plan(v)).select("clip_id", "shot_index", "representative_sample_id")
+    return P.representatives(S.with_shot_ids(v.shots_once()), _plan(v)).select("clip_id", "shot_index", "representative_sample_id")
 
 
 @query("prj29_samples_for_purpose", "SELECT clip_id, ord, sample_id, hit_ms decoded_ms FROM v_manifest WHERE ok AND list_contains(ranks, 1)")
@@ -164,7 +164,7 @@ SELECT s.clip_id, s.shot_index, s.end_ms-s.start_ms duration_ms,
  count(p.ord) pair_count, coalesce(bool_or(flagged), false) flagged_discontinuity
 FROM v_shots s LEFT JOIN v_shot_pairs p ON p.clip_id=s.clip_id AND p.shot_index=s.shot_index GROUP BY 1, 2, 3""")
 def ag06(v):
-    out = M.shot_motion(v.shots(), v.shot_pairs())
+    out = M.shot_motion(v.shots_once(), v.shot_pairs())
     return out.select("clip_id", "shot_index", "duration_ms", *[r6(F.col(c)).alias(c) for c in _M], "pair_count", "flagged_discontinuity")
 
 

@@ -40,15 +40,20 @@ def st02(v):
 
 @query("st03_first_copies", "SELECT DISTINCT sha256(text) sha FROM documents")
 def st03(v):
-    d = _stream(v, "documents").select("doc_id", sha256_text(F.col("text")).alias("sha"), F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("ts"))
-    # The number of a document is its time in seconds of 2024 on; copies that arrive within ten years of each other meet.
-    return S.run_to_end(S.first_copies(d, "sha", "3650 days"), "append").select("sha")
+    """The number of a document is its time in seconds of 2024 on; the delay is the table's own span, so all copies meet in any order of arrival."""
+    at = F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("ts")
+    d = _stream(v, "documents").select("doc_id", sha256_text(F.col("text")).alias("sha"), at)
+    delay = f"{S.span_seconds(v.table('documents').select(at))} seconds"
+    return S.run_to_end(S.first_copies(d, "sha", delay), "append").select("sha")
 
 
 @query("st04_move_audit", """
 SELECT analysis_id, ord, f from_state, state, f='SUCCEEDED' from_terminal FROM v_log_prev WHERE f IS NOT NULL AND concat(f, '>', state) NOT IN ('QUEUED>RUNNING', 'RUNNING>SUCCEEDED')""")
 def st04(v):
+    """Moves in order of their dates, whatever the order they arrive in: the delay is the log's own span."""
     o = _stream(v, "orders").select(
-        F.col("o_custkey").alias("analysis_id"), F.col("o_orderdate").alias("changed_at"), F.col("o_orderkey").alias("ord"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_custkey").alias("analysis_id"), F.col("o_orderkey").alias("ord"),
         F.when(F.col("o_orderstatus") == "O", "QUEUED").when(F.col("o_orderstatus") == "F", "RUNNING").otherwise("SUCCEEDED").alias("state"))
-    return S.run_to_end(S.move_audit(o), "update")
+    delay = f"{S.span_seconds(v.table('orders'), 'o_orderdate')} seconds"
+    o, close = S.with_closing(o)
+    return S.run_to_end(S.move_audit(o, delay), "append", close)

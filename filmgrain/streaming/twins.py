@@ -44,7 +44,8 @@ def sliding_levels(samples: DataFrame, size: str, hop: str, delay: str = "1 minu
 
 
 def first_copies(rows: DataFrame, key: str, delay: str = "1 day", salts: int = 16) -> DataFrame:
-    """First row of each key within the watermark.
+    """First row of each key within the watermark. A copy meets the first one where it comes at most ``delay`` after it; rows
+    more than ``delay`` behind the newest are late and dropped (``span_seconds`` of a table gives a delay that loses none).
 
     Two rounds: copies of a hot key are first thinned per salt over many tasks, then the
     few left meet on the key.
@@ -55,39 +56,94 @@ def first_copies(rows: DataFrame, key: str, delay: str = "1 day", salts: int = 1
     return salted.dropDuplicatesWithinWatermark([key, "_salt"]).dropDuplicatesWithinWatermark([key]).drop("_salt")
 
 
+def span_seconds(rows: DataFrame, time: str = "ts") -> int:
+    """Whole seconds between the first and the last ``time`` of a table, and one more: a delay under which none of its rows is late."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    ends = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    return 1 if ends.low is None else (ends.high - ends.low) // 1_000_000 + 1
+
+
 class _MoveAudit(StatefulProcessor):
-    """Keeps the last state of one analysis and reports moves that are not allowed."""
+    """Holds the moves of one analysis until the watermark has passed them, then reports those that are not allowed in event-time order.
+
+    Waiting moves are map state, one entry a move, so rows of a micro-batch go to the store as they come. One timer per
+    analysis stands at its earliest waiting move.
+    """
 
     legal = frozenset((a, b) for a, to in ANALYSIS_MOVES.items() for b in to)
     final = frozenset(a for a, to in ANALYSIS_MOVES.items() if not to)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "state string")
+        self.waiting = handle.getMapState("waiting", "ms bigint, ord bigint, state string", "copies int")
+        self.alarm = handle.getValueState("alarm", "ms bigint")
+
+    def _set_alarm(self, ms: int | None) -> None:
+        held = self.alarm.get()
+        if held and ms is not None and held[0] <= ms:
+            return
+        if held:
+            self.handle.deleteTimer(held[0])
+            self.alarm.clear()
+        if ms is not None:
+            self.handle.registerTimer(ms)
+            self.alarm.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["changed_at", "ord"])
-        held = self.last.get()
-        before = pd.Series(batch["state"]).shift(1)
-        before.iloc[0] = held[0] if held else None
-        self.last.update((batch["state"].iloc[-1],))
-        bad = [b is not None and b == b and (b, a) not in self.legal for b, a in zip(before, batch["state"])]
-        out = batch.assign(from_state=before, from_terminal=before.isin(self.final))[bad]
-        yield out[["analysis_id", "ord", "from_state", "state", "from_terminal"]]
+        first = None
+        for part in rows:
+            for ms, order, state in zip(part["ms"].tolist(), part["ord"].tolist(), part["state"].tolist()):
+                if state is not None:
+                    at = (ms, order, state)
+                    self.waiting.updateValue(at, ((self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else 0) + 1,))
+                    first = ms if first is None else min(first, ms)
+        if first is not None:
+            self._set_alarm(first)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        moves, later = [], None
+        for at, (copies,) in self.waiting.iterator():
+            if at[0] <= now:
+                moves.append((*at, copies))
+            else:
+                later = at[0] if later is None else min(later, at[0])
+        held, out = self.last.get(), []
+        before = held[0] if held else None
+        for ms, order, state, copies in sorted(moves):
+            for _ in range(copies):
+                if before is not None and (before, state) not in self.legal:
+                    out.append((key[0], order, before, state, before in self.final))
+                before = state
+            self.waiting.removeKey((ms, order, state))
+        if moves:
+            self.last.update((before,))
+        self.alarm.clear()
+        if later is not None:
+            self._set_alarm(later)
+        yield pd.DataFrame(out, columns=["analysis_id", "ord", "from_state", "state", "from_terminal"])
 
     def close(self) -> None:
         pass
 
 
-def move_audit(log: DataFrame) -> DataFrame:
-    """Illegal moves of a state-change stream (analysis_id bigint, changed_at, ord, state).
+def move_audit(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Illegal moves of a state-change stream (ts, analysis_id bigint, ord bigint, state), in the order of ts, then ord.
 
-    State is one value per analysis; a micro-batch is sorted per analysis, so its size
-    (``maxFilesPerTrigger``) bounds what one key holds at a time.
+    Moves wait in ordered state until the watermark, ``delay`` behind the newest, has passed them, so the result is the same however the
+    rows are split into micro-batches, as long as none is later than ``delay``; Spark drops later rows, and those from before 1970, where its
+    watermark begins. End the stream with ``with_closing``,
+    or the last moves keep waiting. The moves of one analysis within ``delay`` fit a task.
     """
-    return log.groupBy("analysis_id").transformWithStateInPandas(
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # Milliseconds alone go to Python, whose own timestamps end in 2262.
+    timed = timed.select("analysis_id", "ord", "state", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy("analysis_id").transformWithStateInPandas(
         statefulProcessor=_MoveAudit(),
         outputStructType="analysis_id bigint, ord bigint, from_state string, state string, from_terminal boolean",
-        outputMode="Update", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 def with_closing(rows: DataFrame, after: str = "9000-01-01") -> tuple[DataFrame, Callable[[], None]]:

@@ -12,6 +12,7 @@ from filmgrain.functions.identity import sha256_text
 from filmgrain.functions.numeric import dbl, to_epoch_tick
 from filmgrain.operators import shots as S
 from filmgrain.operators.ordered import with_row_number
+from filmgrain.session import stored
 
 DURATION = 259_200
 MERGE = 10_000
@@ -22,6 +23,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._shots: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -54,6 +56,12 @@ class Views:
     def shots(self, min_shot_ms: int = MERGE) -> DataFrame:
         return S.merge_short_shots(self.cuts(), self.clips(), min_shot_ms)
 
+    def shots_once(self) -> DataFrame:
+        """``shots()`` worked out once and stored, for plans in which several branches read them."""
+        if self._shots is None:
+            self._shots = stored(self.shots())
+        return self._shots
+
     def scores(self) -> DataFrame:
         return self._events().select(
             "clip_id", "at_ms", F.col("event_id").alias("frame_index"), F.col("value").alias("score")
@@ -74,7 +82,7 @@ class Views:
         )
 
     def shot_pairs(self) -> DataFrame:
-        return S.assign_shots(self.flow_pairs(), self.shots(), fallback=False)
+        return S.assign_shots(self.flow_pairs(), self.shots_once(), fallback=False)
 
     def calm_series(self) -> DataFrame:
         return self.shot_pairs().where(~F.col("flagged")).select(

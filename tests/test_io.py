@@ -101,14 +101,18 @@ def in_three_files(spark, tmp_path):
     return write
 
 
-def test_move_audit_keeps_state_between_batches(spark, table, in_three_files):
+@pytest.mark.parametrize("by", ["changed_at", "mixed"])
+def test_move_audit_equals_batch_for_any_split(spark, table, in_three_files, by):
+    """In order of time, and with moves of every time in every file; one analysis has most of the rows, some of them twice."""
     states = ["QUEUED", "RUNNING", "SUCCEEDED", "RUNNING", "QUEUED", "CANCELED"]
-    log = table("analysis_id bigint, t bigint, ord bigint, state string", [(a, i, i, states[(a + i * (1 + a % 2)) % 6]) for a in range(8) for i in range(12)])
-    log = log.withColumn("changed_at", F.timestamp_seconds(F.col("t") * 86_400 * 9)).drop("t")
-    path = in_three_files(log, "changed_at")
-    got = sorted(tuple(r) for r in ST.run_to_end(ST.move_audit(ST.stream_table(spark, path, 1)), "update").collect())
-    want = sorted(tuple(r) for r in J.illegal_moves(log).select("analysis_id", "ord", "from_state", "state", "from_terminal").collect())
-    assert got == want and got
+    rows = [(a, i, i, states[(a + i * (1 + a % 2)) % 6]) for a in range(4) for i in range(12)] + [(9, i % 50, i, states[i * i % 6]) for i in range(150)] + [(5, 3, 1, "QUEUED")] * 2
+    log = table("analysis_id bigint, t bigint, ord bigint, state string", rows).withColumn("changed_at", F.timestamp_seconds((F.col("t") + 1) * 86_400 * 900)).drop("t")
+    log = log.withColumn("mixed", F.xxhash64("changed_at", "ord", "analysis_id"))
+    stream, close = ST.with_closing(ST.stream_table(spark, in_three_files(log.withColumn("ts", F.col("changed_at")), by), 1).select("ts", "analysis_id", "ord", "state"))
+    out = ST.run_to_end(ST.move_audit(stream, f"{ST.span_seconds(log, 'changed_at')} seconds"), "append", close)
+    want = J.illegal_moves(log).select("analysis_id", "ord", "from_state", "state", "from_terminal")
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted(tuple(r) for r in want.collect()) and got
 
 
 def test_hourly_rollup_equals_batch(spark, table, in_three_files):
@@ -137,6 +141,15 @@ def test_first_copies_across_batches(spark, table, in_three_files):
     assert sorted(r.sha for r in out.collect()) == [f"h{i}" for i in range(7)]
 
 
+def test_first_copies_meet_decades_apart(spark, table, in_three_files):
+    """The second copy of each comes in another micro-batch, up to 57 years away, and out of order."""
+    rows = table("n bigint, sha string", [((1 + i * 37 % 60) * 30_000_000, f"h{i % 7}") for i in range(60)]).withColumn("ts", F.timestamp_seconds("n")).withColumn("place", F.xxhash64("n"))
+    delay = f"{ST.span_seconds(rows)} seconds"
+    out = ST.run_to_end(ST.first_copies(ST.stream_table(spark, in_three_files(rows, "place"), 1).drop("place"), "sha", delay), "append")
+    assert sorted(r.sha for r in out.collect()) == [f"h{i}" for i in range(7)]
+    assert ST.span_seconds(rows.where("n < 0")) == 1
+
+
 def test_sliding_levels(spark, table, in_three_files):
     rows = table("n int, x double", [(i, float(i % 5)) for i in range(40)]).select(F.timestamp_millis(F.col("n") * 250).alias("ts"), F.lit(1).alias("clip_id"), "x", "n")
     stream, close = ST.with_closing(ST.stream_table(spark, in_three_files(rows, "n"), 1))
