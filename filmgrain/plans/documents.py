@@ -166,20 +166,21 @@ def src05(v):
     T.replace_documents(v.spark, docs, path, "analysis_id")
     again = docs.where(F.pmod("analysis_id", F.lit(4)) == 0).withColumn("score", F.col("score") * 2)
     T.replace_documents(v.spark, again, path, "analysis_id")
-    return T.read_stored(v.spark, path)
+    return T.read_stored(v.spark, path, "analysis_id")
 
 
 @query("src06_replace_shots", """
 SELECT clip_id, shot_index, start_ms, end_ms FROM v_shots WHERE clip_id%5<>0 UNION ALL
 SELECT clip_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), duration_ms FROM v_clips WHERE clip_id%5=0""")
 def src06(v):
-    """Shots are stored, then every fifth clip is replaced by one whole-length shot."""
+    """Shots are stored, then every fifth clip is replaced by one whole-length shot and all is folded into a new base."""
     path = _scratch(v, "shots")
     T.replace_documents(v.spark, v.shots().select("clip_id", "shot_index", "start_ms", "end_ms"), path, "clip_id")
     zero = F.lit(0).cast("bigint")
     whole = v.clips().where(F.pmod("clip_id", F.lit(5)) == 0).select("clip_id", zero.alias("shot_index"), zero.alias("start_ms"), F.col("duration_ms").alias("end_ms"))
     T.replace_documents(v.spark, whole, path, "clip_id")
-    return T.read_stored(v.spark, path)
+    T.compact_documents(v.spark, path, "clip_id")
+    return T.read_stored(v.spark, path, "clip_id")
 
 
 @query("src09_statistics_csv", "SELECT clip_id, at_ms, score FROM v_scores")

@@ -42,12 +42,28 @@ def test_binary_files_are_addressed(spark, tmp_path):
     assert (r.sha256, r.storage_key, r.length) == (h, f"{h[:2]}/{h}", 3)
 
 
+def rows_in(spark, path, **place):
+    return spark.read.parquet(path).where(" and ".join(f"{k} = {v}" for k, v in place.items())).count()
+
+
 def test_replacing_one_key_leaves_the_others(spark, table, tmp_path):
+    """A replacement writes its own rows only, deletions are tombstones, and a new base folds all together."""
     path = str(tmp_path / "t")
+    stored = lambda: sorted((r.k, r.v) for r in T.read_stored(spark, path, "k").collect())
     T.replace_documents(spark, table("k int, v int", [(i, j) for i in range(20) for j in range(3)]), path, "k", buckets=4)
-    T.replace_documents(spark, table("k int, v int", [(5, 99), (77, 1)]), path, "k", buckets=4)
-    got = sorted((r.k, r.v) for r in T.read_stored(spark, path).collect())
-    assert got == sorted([(i, j) for i in range(20) if i != 5 for j in range(3)] + [(5, 99), (77, 1)])
+    T.replace_documents(spark, table("k int, v int", [(5, 99), (77, 1)]), path, "k", buckets=8)
+    want = sorted([(i, j) for i in range(20) if i != 5 for j in range(3)] + [(5, 99), (77, 1)])
+    assert stored() == want and rows_in(spark, path, store_generation=1) == 2
+    T.delete_documents(spark, table("k int", [(3,), (3,), (500,)]), path, "k")
+    assert rows_in(spark, path, store_generation=2) == 2
+    T.replace_documents(spark, table("k int, v int", [(5, 7), (5, 8)]), path, "k")
+    want = sorted([x for x in want if x[0] not in (3, 5)] + [(5, 7), (5, 8)])
+    assert stored() == want
+    T.compact_documents(spark, path, "k")
+    assert stored() == want and rows_in(spark, path, store_base=1) == len(want)
+    T.replace_documents(spark, table("k int, v int", [(3, 1)]), path, "k")
+    assert stored() == sorted([*want, (3, 1)])
+    assert T.read_stored(spark, path, "k").columns == ["k", "v"]
 
 
 def test_statistics_csv_has_a_header(spark, table, tmp_path):
