@@ -43,7 +43,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
         step = roots.join(near, "node").select("node", "root", F.least("root", "seen").alias("best"))
         # The old root is told too, so a whole tree moves when one of its members meets another tree.
         told = step.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("told"))
-        moved = step.join(told, "node", "left").select("node", "root", F.least("best", F.coalesce("told", "best")).alias("best"))
+        # Stored, as all members of a group read their root's row: the skew join may split what comes straight from an exchange.
+        moved = stored(step.join(told, "node", "left").select("node", "root", F.least("best", F.coalesce("told", "best")).alias("best")))
         up = moved.select(F.col("node").alias("best"), F.col("best").alias("above"))
         moved = stored(moved.join(up, "best", "left").select(
             "node", F.least("best", F.coalesce("above", "best")).alias("root"), (F.least("best", F.coalesce("above", "best")) < F.col("root")).alias("changed")))
