@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from filmgrain.llm.batches import mix, slices
+from filmgrain.llm.batches import free_name, passed_on, mix, slices
 from filmgrain.llm.shared import stored
 
 MIN_CRITIQUES = 10
@@ -216,7 +216,7 @@ def _candidates(critiques: DataFrame, filters: DataFrame, shards: int, salts: in
 
 
 def drop_common_lines(critiques: DataFrame, min_critiques: int = MIN_CRITIQUES, counts: DataFrame | None = None,
-                      filters: DataFrame | None = None, shards: int | None = None, salts: int = SALTS) -> DataFrame:
+                      filters: DataFrame | None = None, shards: int | None = None, salts: int | None = None) -> DataFrame:
     """``critiques`` with ``text`` cleaned and n_lines, n_dropped added.
 
     ``critiques``: critique_run_id, text and any further columns, which pass through (columns
@@ -235,7 +235,8 @@ def drop_common_lines(critiques: DataFrame, min_critiques: int = MIN_CRITIQUES,
     a critique of its own, also when it repeats another or has a null id. No critiques give no
     rows.
     """
-    wide = [c for c in critiques.columns if c not in ("n_lines", "n_dropped", "_common")]
+    wide = passed_on(tuple(critiques.columns), ("n_lines", "n_dropped"))
+    own, gone_here = free_name("_id", wide), free_name("_common", wide)
     critiques = critiques.select(*wide)
     if counts is None:
         counts = stored(count_lines(critiques))
@@ -243,15 +244,17 @@ def drop_common_lines(critiques: DataFrame, min_critiques: int = MIN_CRITIQUES,
         shards = -(-_listed(counts, min_critiques).count() // SHARD_KEYS) or 1
     if filters is None:
         filters = stored(build_filters(counts, shards, min_critiques))
+    # Shards and salts together give every shuffle partition several groups, however few keys are listed.
+    salts = salts or max(SALTS, -(-4 * int(critiques.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
     passed = _candidates(critiques, filters, shards, salts)
     sure = passed.join(_listed(counts, min_critiques).select("key"), "key")
-    common = sure.groupBy(F.col("critique_run_id").alias("_id")).agg(F.collect_set("key").alias("_common"))
-    joined = critiques.join(common, F.col("critique_run_id").eqNullSafe(F.col("_id")), "left").select(*wide, "_common")
+    common = sure.groupBy(F.col("critique_run_id").alias(own)).agg(F.collect_set("key").alias(gone_here))
+    joined = critiques.join(common, F.col("critique_run_id").eqNullSafe(F.col(own)), "left").select(*wide, gone_here)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, totals, gone = [], [], []
-            for text, common in zip(batch.column("text").to_pylist(), batch.column("_common").to_pylist()):
+            for text, common in zip(batch.column("text").to_pylist(), batch.column(gone_here).to_pylist()):
                 lines, common = _lines(text), set(common or ())
                 kept = [x for x in lines if _key(x) not in common] if common else lines
                 texts.append(b"\n".join(kept).decode())
