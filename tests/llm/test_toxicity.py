@@ -136,6 +136,16 @@ def test_quoted_terms_are_weighed_apart():
     assert plain[0] > 0 and plain[5] == 0 and quoted[0] == 0 and quoted[5] > 0
 
 
+def test_a_shared_header_makes_no_copies(spark):
+    """Texts that share a long header all count; texts with equal sets of shingles count once a label."""
+    rng = random.Random(3)
+    header = prose(rng, 80)
+    rows = [(i, f"{header} {prose(rng, 10)}") for i in range(20)] + [(100 + i, "the very same seven words stand here") for i in range(5)]
+    df = spark.createDataFrame(rows, "critique_run_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "critique_run_id bigint, toxic int")
+    assert toxicity._sampled(df, labels, 1_000).count() == 22
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1)], [(1, None)]])
 def test_one_sided_labels_give_one_score(spark, labels):
     df = spark.createDataFrame([(1, "a b c"), (2, "d")], "critique_run_id bigint, text string")
@@ -150,3 +160,4 @@ def test_driver_labels_held_out(spark):
     good, bad = [r.score for r in rows if not r.toxic], [r.score for r in rows if r.toxic]
     above = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
     assert above > 0.95 and sum(g >= 0.5 for g in good) < 0.01 * len(good)
+    assert sum(b >= 0.5 for b in bad) >= 0.9 * len(bad)
