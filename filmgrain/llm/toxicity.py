@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -231,21 +230,22 @@ class ToxicityModel:
 
 
 def _sampled(critiques: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """text, toxic of at most ``size`` labelled critiques; of a group of copies (equal sets of five-word
-    shingles) and label one text stays, so copies don't pass for evidence and a shared header makes no copies."""
+    """text, toxic of at most ``size`` labelled critiques; of a group of copies (equal least
+    shingle hash) and label one text stays, so near copies don't pass for evidence either. Texts that share the
+    passage with the least shingle fall together too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
             data = lowered(data)
             starts, ends, bounds = word_spans(data, offsets)
-            sets = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_hashes(span_hashes(data, starts, ends), bounds, 5)]
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(sets, pa.binary())], ["text", "toxic", "set"])
+            least = [int(s.view(np.int64)[0]) if len(s) else 0 for s in shingle_hashes(span_hashes(data, starts, ends), bounds, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "least"])
 
     # The sample's size bounds this broadcast.
     wanted = labels.where("toxic is not null and critique_run_id is not null").groupBy("critique_run_id").agg(F.max("toxic").cast("int").alias("toxic"))
     wanted = F.broadcast(hash_sample(wanted, size, "critique_run_id"))
     rows = critiques.where("text is not null").select("critique_run_id", "text").join(wanted, "critique_run_id").select("text", "toxic")
-    return stored(rows.mapInArrow(run, "text string, toxic int, set binary").groupBy("set", "toxic").agg(F.min("text").alias("text")).drop("set"))
+    return stored(rows.mapInArrow(run, "text string, toxic int, least bigint").groupBy("least", "toxic").agg(F.min("text").alias("text")).drop("least"))
 
 
 def _learned_terms(sample: DataFrame, max_terms: int) -> tuple[Term, ...]:

@@ -16,9 +16,10 @@ from tests.llm.test_near_copies import brute
 from tools.compare import connect, differences
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_sql(spark, name):
-    assert differences(spark, connect(SMALL), name, QUERIES[name], ORACLES[name], SMALL)[0] is None
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_sql_where_there_is_some(spark, name):
+    problem, rows = differences(spark, connect(SMALL), name, QUERIES[name], ORACLES.get(name), SMALL)
+    assert problem is None and rows > 0
 
 
 def test_all_thirteen_and_the_pipeline_are_registered():
