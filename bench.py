@@ -18,7 +18,7 @@ HEADLINE = [
     "ag01_editing_summary", "wn01_score_changes", "wn04_merge_short_shots", "wn07_sampling_plan", "jn02_point_to_shot",
     "jn03_cut_activity", "jn04_motion_at_hop", "jn06_frame_at_or_after", "wn15_timeline", "wn16_peaks", "ag05_flow_statistics",
     "ag06_shot_motion", "wn11_direction_consistency", "jn08_outside_boxes", "wn08_letterbox_bounds", "ag02_lightness",
-    "shot_palette", "wn21_track_subjects", "ag09_spatial_values", "ag12_window_levels", "ag13_spectral_flux", "jn01_assemble_report",
+    "shot_palette", "shot_colour_values", "wn21_track_subjects", "ag09_spatial_values", "ag12_window_levels", "ag13_spectral_flux", "jn01_assemble_report",
     "ag19_critic_facts", "ag22_status_view", "ag24_metrics_rollup", "jn14_illegal_moves", "src01_probe_facts", "src03_dedupe_ingest",
     "prj31_command_verdict", "prj32_audit_critique",
 ]
